@@ -19,7 +19,6 @@ from ballast.shared import ship, stored
 
 BLOCK_BYTES = 12 << 20
 _IPC = pa.ipc.IpcWriteOptions(compression="zstd")
-TEXTS = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
 
 
 def write_texts(table: pa.Table) -> bytes:
@@ -41,7 +40,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Record
         return pa.RecordBatch.from_pydict({"block": [(task << 32) + seq], "n_bytes": [size], "n_docs": [table.num_rows], "payload": [write_texts(table)]}, schema=_SCHEMA)
 
     for batch in batches:
-        batch = pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.string())], schema=TEXTS)
+        batch = pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.string()), *batch.columns[2:]], names=["doc_id", "text", *batch.schema.names[2:]])
         lengths = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
         lo = 0
         for i, n in enumerate(lengths):
@@ -59,11 +58,11 @@ def _blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Record
 _SCHEMA = pa.schema([("block", pa.int64()), ("n_bytes", pa.int64()), ("n_docs", pa.int64()), ("payload", pa.binary())])
 
 
-def in_blocks(docs: DataFrame, id_col: str, text_col: str, limit: int = BLOCK_BYTES) -> DataFrame:
-    """Write (block, n_bytes, n_docs, payload) to the shared folder; a block has about `limit` bytes of text, or one longer text."""
+def in_blocks(docs: DataFrame, id_col: str, text_col: str, limit: int = BLOCK_BYTES, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Columns `keep` come along as keep0, keep1 and so on. Write (block, n_bytes, n_docs, payload) to the shared folder; a block has about `limit` bytes of text, or one longer text."""
     ship(docs.sparkSession)
     small = {"compression": "uncompressed", "parquet.block.size": str(32 << 20), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "8", "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "8", "parquet.enable.dictionary": "false"}
-    packed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lambda b: _blocks(b, limit), "block long, n_bytes long, n_docs long, payload binary")
+    packed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"keep{i}") for i, c in enumerate(keep)]).mapInArrow(lambda b: _blocks(b, limit), "block long, n_bytes long, n_docs long, payload binary")
     return stored(packed, **small)
 
 

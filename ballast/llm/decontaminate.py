@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ballast.llm.vec import ALNUM, LOWER, U64, Words, grams, whole, words_of
+from ballast.llm.vec import ALNUM, LOWER, U64, Lookup, Words, grams, whole, words_of
 from ballast.shared import ship
 
 SPAN, K = 10, 5
@@ -43,24 +43,6 @@ def winnowed(g: np.ndarray, ok: np.ndarray, w: int) -> np.ndarray:
     return np.flatnonzero(keep & ok)
 
 
-class Lookup:
-    """Membership of 64-bit values in a sorted set, with a bit table before the search."""
-
-    BITS = 22
-
-    def __init__(self, values: np.ndarray):
-        self.values = np.unique(values)
-        self.seen = np.zeros(1 << self.BITS, dtype=bool)
-        self.seen[self.values >> U64(64 - self.BITS)] = True
-
-    def __call__(self, h: np.ndarray) -> np.ndarray:
-        at = np.flatnonzero(self.seen[h >> U64(64 - self.BITS)])
-        if not len(at) or not len(self.values):
-            return at[:0]
-        where = np.minimum(np.searchsorted(self.values, h[at]), len(self.values) - 1)
-        return at[self.values[where] == h[at]]
-
-
 class Index:
     """The windows of some test items."""
 
@@ -142,40 +124,60 @@ def _scan(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(counts) if counts else [], pa.int64()), pa.array(spans, _OUT.field(2).type), pa.array(items, _OUT.field(3).type)], schema=_OUT)
 
 
+def test_blocks(tests: DataFrame, item_col: str, text_col: str, limit: int) -> Iterator[list[tuple[object, str | None]]]:
+    """The test items in blocks of at most `limit` bytes of text; a larger item is its own block."""
+    block: list[tuple[object, str | None]] = []
+    size = 0
+    for item, text in tests.select(item_col, text_col).toLocalIterator():
+        n = len((text or "").encode())
+        if block and size + n > limit:
+            yield block
+            block, size = [], 0
+        block.append((item, text))
+        size += n
+    yield block
+
+
 def find_leaks(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = SPAN, k: int = K, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_words, hits, items): for each document the merged spans of hit words and the sorted items that occur.
 
-    Test items are taken in blocks of at most `block_bytes` of text (a larger item is its own block), each one pass over
-    the documents; with more than one block, the passes' spans are merged by a row number given to each document row.
+    Each block of test items is one pass over the documents; with more than one block the passes' spans are merged.
     """
     spark = docs.sparkSession
     ship(spark)
-    blocks: list[list[tuple[object, str | None]]] = [[]]
-    size, passes = 0, []
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def scan(block):
-        index = spark.sparkContext.broadcast(block)
-        made: list[Index] = []
+        shared = spark.sparkContext.broadcast(block)
 
         def run(batches):
-            if not made:
-                made.append(Index(index.value, span, k))
-            yield from _scan(batches, made[0])
+            index = Index(shared.value, span, k)
+            yield from _scan(batches, index)
 
         return texts.mapInArrow(run, HITS)
 
-    for item, text in tests.select(item_col, item_text_col).toLocalIterator():
-        n = len((text or "").encode())
-        if blocks[-1] and size + n > block_bytes:
-            passes.append(scan(blocks[-1]))
-            blocks, size = [[]], 0
-        blocks[-1].append((item, text))
-        size += n
-    passes.append(scan(blocks[-1]))
-    if len(passes) == 1:
-        return passes[0]
-    return _merge(passes)
+    passes = [scan(block) for block in test_blocks(tests, item_col, item_text_col, block_bytes)]
+    return passes[0] if len(passes) == 1 else _merge(passes)
+
+
+def drop_leaks(docs: DataFrame, tests: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = SPAN, k: int = K, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs, all columns, in which no window of a test item occurs."""
+    ship(docs.sparkSession)
+    at = docs.columns.index(text_col)
+    for block in test_blocks(tests, item_col, item_text_col, block_bytes):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches, shared=shared):
+            index = Index(shared.value, span, k)
+            for batch in batches:
+                clean = np.ones(batch.num_rows, dtype=bool)
+                for w in words_of(batch.column(at), ALNUM, LOWER):
+                    for i, _, _ in index.hits(w):
+                        clean[w.lo + int(np.searchsorted(w.first, i, side="right")) - 1] = False
+                yield batch.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
 
 
 def _merge(passes: list[DataFrame]) -> DataFrame:
@@ -190,7 +192,7 @@ def _merge(passes: list[DataFrame]) -> DataFrame:
         F.expr("cast(array() as array<struct<first:long,last:long>>)"),
         lambda acc, x: F.when(
             (F.size(acc) > 0) & (x["first"] <= F.element_at(acc, -1)["last"] + 1),
-            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["first"].alias("first"), F.greatest(F.element_at(acc, -1)["last"], x["last"]).alias("last")))),
+            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.named_struct(F.lit("first"), F.element_at(acc, -1)["first"], F.lit("last"), F.greatest(F.element_at(acc, -1)["last"], x["last"])))),
         ).otherwise(F.concat(acc, F.array(x))),
     )
     return one.select("doc_id", "n_words", merged.alias("hits"), "items", F.explode(F.sequence(F.lit(1), (F.col("c") / n).cast("int"))).alias("copy")).drop("copy")

@@ -9,8 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 _QUERIES = {
     "op1_license_scan": "licenses",
+    "op2_imatch": "imatch",
+    "op3_url_filter": "urls",
+    "op4_toxicity": "toxicity",
     "op5_simhash": "simhash",
     "op6_decontaminate": "decontaminate",
+    "op7_lm_score": "lm",
+    "op8_language_id": "language",
     "op9_substring_dedup": "repeats",
     "op10_byte_bpe": "bpe",
 }

@@ -161,7 +161,15 @@ def _finish(table: pa.Table, payloads: list[bytes], n: int) -> Iterator[pa.Recor
     texts = [(k, numbers[c][a:b], first, int(docs[k])) for k, a, b, first, c in runs]
     cut = _covered(texts, n)
     out: tuple[list, ...] = ([], [], [], [], [])
-    size = 0
+    size, lo = 0, 0
+    extra = [c for c in table.column_names if c.startswith("keep")]
+
+    def flush(hi: int) -> pa.RecordBatch:
+        batch = _batch(out)
+        for c in extra:
+            batch = batch.append_column(c, table.column(c).slice(lo, hi - lo).combine_chunks())
+        return batch
+
     for (k, ids, _, doc), text in zip(texts, table.column("text"), strict=True):
         words = text.as_buffer().to_pybytes().split() if text.is_valid else []
         spans = []
@@ -174,18 +182,18 @@ def _finish(table: pa.Table, payloads: list[bytes], n: int) -> Iterator[pa.Recor
             column.append(x)
         size += len(kept)
         if size > 4 << 20:
-            yield _batch(out)
-            out, size = ([], [], [], [], []), 0
-    yield _batch(out)
+            yield flush(k + 1)
+            out, size, lo = ([], [], [], [], []), 0, k + 1
+    yield flush(table.num_rows)
 
 
 def _batch(out: tuple[list, ...]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, f.type) if f.name != "kept" else pa.array(x, pa.binary()).cast(pa.string()) for x, f in zip(out, _OUT, strict=True)], schema=_OUT)
 
 
-def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept, spans): each text without the words of windows that begin in a document of smaller id too."""
-    blocks = in_blocks(docs, id_col, text_col)
+def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept, spans, then keep0, keep1 and so on for the columns `keep`): each text without the words of windows that begin in a document of smaller id too."""
+    blocks = in_blocks(docs, id_col, text_col, keep=keep)
     _, size = sizes(blocks)
     parts = max(8, size // (10 << 20))
 
@@ -196,7 +204,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     asked = blocks.select("block", "payload").mapInArrow(ask, ASK).repartition(parts, "part")
     answers = asked.mapInArrow(_answer, ANSWER)
-    return with_answers(blocks, answers, max(8, size // (10 << 20)), lambda _, table, held: _finish(table, held, window), REPEATS)
+    return with_answers(blocks, answers, max(8, size // (10 << 20)), lambda _, table, held: _finish(table, held, window), REPEATS + "".join(f", keep{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)))
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
