@@ -21,7 +21,7 @@ from ballast.shared import ship
 
 def two_hashes(key: int, p: int) -> tuple[int, int]:
     x = (key + 1) * GOLDEN
-    return key % p, int(np.floor(p * (x - int(x))))
+    return key % p, int(np.floor(p * (x - int(x)))) % p
 
 
 class Panes:

@@ -14,12 +14,12 @@ def hashing(key: Column, p: int) -> Column:
 
 def shuffling(ts: Column, p: int, start: int = 0, step: int = 1) -> Column:
     """Round robin over dense ordinals: a source's nth record goes to worker n mod p, without a window over all rows."""
-    return F.pmod(F.expr("1") * ((ts - F.lit(start)) / F.lit(step)).cast("long"), F.lit(p)).cast("int")
+    return F.pmod(((ts - F.lit(start)) / F.lit(step)).cast("long"), F.lit(p)).cast("int")
 
 
 def second_hash(key: Column, p: int) -> Column:
     x = (key + 1) * F.lit(GOLDEN)
-    return F.floor(F.lit(p) * (x - x.cast("long"))).cast("int")
+    return F.pmod(F.floor(F.lit(p) * (x - x.cast("long"))), F.lit(p)).cast("int")
 
 
 def placed(df: DataFrame, p: int, worker: str = "worker") -> DataFrame:
