@@ -30,7 +30,9 @@ from ballast.llm.vec import SPACED, U64, Words, grams, pack_sorted, unpack_sorte
 
 WINDOW = 13
 #: Words in the phrases of one automaton.
-SHARD_WORDS = 300_000
+SHARD_WORDS = 150_000
+#: Bytes of text in a block, and bytes of text whose windows one hash range takes: what a Python worker holds at a time.
+BLOCK_BYTES, RANGE_BYTES = 5 << 20, 4 << 20
 
 
 def _windows(table: pa.Table, n: int) -> Iterator[tuple[Words, np.ndarray, np.ndarray, np.ndarray]]:
@@ -193,9 +195,9 @@ def _batch(out: tuple[list, ...]) -> pa.RecordBatch:
 
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_words, n_removed, kept, spans, then keep0, keep1 and so on for the columns `keep`): each text without the words of windows that begin in a document of smaller id too."""
-    blocks = in_blocks(docs, id_col, text_col, keep=keep)
+    blocks = in_blocks(docs, id_col, text_col, BLOCK_BYTES, keep)
     _, size = sizes(blocks)
-    parts = max(8, size // (10 << 20))
+    parts = max(8, size // RANGE_BYTES)
 
     def ask(batches):
         for batch in batches:
