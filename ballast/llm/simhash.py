@@ -194,7 +194,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = stored(parts.join(classes, parts["node"] == classes["fp"]).select("node", "component", "first"))
     low = named.groupBy("component").agg(F.min("first").alias("component_id"))
     linked_fp = named.join(low, "component").select(F.col("node").alias("fp"), "component_id")
-    all_fp = classes.join(linked_fp, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    # written, so that the last join is of two plain exchanges and Spark can split a fingerprint that very many rows have
+    all_fp = stored(classes.join(linked_fp, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id")))
     return prints.join(all_fp, "fp").select("doc_id", "fp", "component_id")
 
 
