@@ -86,7 +86,8 @@ class Model:
         values, vectors = np.linalg.eigh(kernel(z, z).astype(np.float64))
         keep = values > 1e-6 * values.max()
         root = vectors[:, keep] / np.sqrt(values[keep])
-        phi = np.hstack([kernel(x, z).astype(np.float64) @ root, np.ones((len(x), 1))])
+        phi = np.vstack([kernel(x[i : i + 512], z).astype(np.float64) @ root for i in range(0, len(x), 512)])
+        phi = np.hstack([phi, np.ones((len(x), 1))])
         y = np.array([[1.0 if a == lang else -1.0 for lang in self.langs] for a in langs])
         size = np.array([len(rows) for rows in own], dtype=float)
         weight = (len(langs) / len(own) / size)[[self.langs.index(a) for a in langs]][:, None]
