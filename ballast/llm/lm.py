@@ -13,7 +13,7 @@ the chance of a new table is held. Discounts come from the counts of counts. Aft
 of each cell are averaged over samples, and ranges send each block the logarithms it asked for, in its order.
 
 Defined results: a null or empty text is its end token alone; texts are scored by word hashes of 64 bits; repeated rows
-repeat (and count as often); without training rows every word is unknown; other columns are ignored; an empty table gives
+repeat (and count as often); rows of null id are scored, but not learned from, with held_out null; without training rows every word is unknown; other columns are ignored; an empty table gives
 an empty result.
 """
 
@@ -36,8 +36,9 @@ ANY, START = 0, 1
 LEAST_SHARE, BURN_IN, SAMPLES = 1e-4, 2, 3
 
 
-def trained(doc_ids: np.ndarray, mod: int, held: int) -> np.ndarray:
-    return np.array([zlib.crc32(str(d).encode()) % mod != held for d in doc_ids.tolist()], dtype=bool)
+def trained(doc_ids: pa.ChunkedArray, mod: int, held: int) -> list[bool | None]:
+    """Whether each row is learned from; null for a null id."""
+    return [None if d is None else zlib.crc32(str(d).encode()) % mod != held for d in doc_ids.to_pylist()]
 
 
 def _tokens(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -212,7 +213,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def count(block: int, table: pa.Table) -> Iterator[pa.RecordBatch]:
         h, n = _tokens(table)
-        h = h[np.repeat(trained(table.column("doc_id").to_numpy(), mod, held), n)]
+        h = h[np.repeat(np.array(trained(table.column("doc_id"), mod, held), dtype=bool), n)]
         words, c = np.unique(h, return_counts=True)
         own = _cut(words, parts)
         yield rows(ASKS, [p for p, _, _ in own], [block] * len(own), [pack_sorted(words[a:b], c[a:b]) for _, a, b in own])
@@ -234,7 +235,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def ask(block: int, table: pa.Table) -> Iterator[pa.RecordBatch]:
         h, n = _tokens(table)
         w, u, pair = _pairs(h, n, known.value)
-        c = np.bincount(pair, np.repeat(trained(table.column("doc_id").to_numpy(), mod, held), n), minlength=len(w)).astype(np.int32)
+        c = np.bincount(pair, np.repeat(np.array(trained(table.column("doc_id"), mod, held), dtype=bool), n), minlength=len(w)).astype(np.int32)
         own = _cut(w, parts)
         yield rows(ASKS, [p for p, _, _ in own], [block] * len(own), [pack_sorted(w[a:b], u[a:b], c[a:b]) for _, a, b in own])
 
@@ -284,8 +285,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         count = np.concatenate([unpack(x)[0] for x in payloads[1::2]])
         c = count[np.cumsum(np.append(False, w[1:] != w[:-1]))][pair]
         edge = np.cumsum(n) - n
-        ids = table.column("doc_id").to_numpy()
-        yield rows(_SCORES, ids, ~trained(ids, mod, held), n, np.add.reduceat((c > 0).astype(np.int64), edge), np.add.reduceat(np.log10((c + 0.1) / divisor), edge), np.add.reduceat(p[pair], edge))
+        ids = table.column("doc_id")
+        yield rows(_SCORES, ids.to_pylist(), [None if x is None else not x for x in trained(ids, mod, held)], n, np.add.reduceat((c > 0).astype(np.int64), edge), np.add.reduceat(np.log10((c + 0.1) / divisor), edge), np.add.reduceat(p[pair], edge))
 
     scored = with_answers(blocks, answers, max(8, size // (10 << 20)), finish, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
