@@ -11,7 +11,8 @@
 A window that a third of all documents share costs one entry a block, in both directions.
 
 Defined results: a null or empty text has no words and an empty kept text; a text of fewer than 13 words is kept; white
-space of kept text is single spaces; rows of one id count as one document and are each judged; other columns are ignored.
+space of kept text is single spaces; rows of one id count as one document and are each judged; rows of null id are kept whole
+and aren't the first of anything; other columns are ignored.
 Windows are told apart by 64-bit hashes in step 1, by words in step 2.
 """
 
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,12 +44,20 @@ def _windows(table: pa.Table, n: int) -> Iterator[tuple[Words, np.ndarray, np.nd
         yield w, h, grams(h, n), whole(w, n)
 
 
+def _ids(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Ids, the smallest number for null, and whether there is one."""
+    column = table.column("doc_id")
+    return pc.fill_null(column, -(2**63)).to_numpy(), column.is_valid().to_numpy()
+
+
 def _ask(block: int, table: pa.Table, n: int, parts: int) -> Iterator[pa.RecordBatch]:
-    ids = table.column("doc_id").to_numpy()
+    ids, known = _ids(table)
     hs, ds = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
     for w, _, g, ok in _windows(table, n):
+        own = w.lo + w.owner()[: len(g)]
+        ok = ok & known[own]
         hs.append(g[ok])
-        ds.append(ids[w.lo + w.owner()[: len(g)][ok]])
+        ds.append(ids[own[ok]])
     h, d = np.concatenate(hs), np.concatenate(ds)
     if not len(h):
         return
@@ -150,7 +160,7 @@ def _finish(table: pa.Table, payloads: list[bytes], n: int) -> Iterator[pa.Recor
     keys, firsts = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, U64), np.zeros(0, np.int64))
     order = np.argsort(keys, kind="stable")
     keys, firsts = keys[order], firsts[order]
-    docs, names, runs = table.column("doc_id").to_numpy(), [], []
+    (docs, known), names, runs = _ids(table), [], []
     for w, h, g, ok in _windows(table, n):
         first = np.full(len(h), -1, dtype=np.int64)
         if len(g) and len(keys):
@@ -180,7 +190,7 @@ def _finish(table: pa.Table, payloads: list[bytes], n: int) -> Iterator[pa.Recor
             spans = [{"first": a, "last": b - 1} for a, b in zip(edge[::2], edge[1::2], strict=True)]
             words = [x for x, m in zip(words, mark.tolist(), strict=True) if not m]
         kept = b" ".join(words)
-        for column, x in zip(out, (doc, len(ids), len(ids) - len(words), kept, spans), strict=True):
+        for column, x in zip(out, (doc if known[k] else None, len(ids), len(ids) - len(words), kept, spans), strict=True):
             column.append(x)
         size += len(kept)
         if size > 4 << 20:
