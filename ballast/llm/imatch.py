@@ -149,7 +149,7 @@ def _compared(table: pa.Table, guests: list[tuple[int, str]], printer: Printer)
         edited = [a[: len(a) - len(a) // 2] + b[: len(a) // 2] for a, b in zip(own, after, strict=True)]
         prints = printer(pa.array(texts[lo : hi + 1], pa.string()))
         changed = printer(pa.array(edited, pa.string()))
-        yield rows(_OUT, ids[lo:hi], [len(x) for x in own], [hashlib.sha256(x.encode()).hexdigest() for x in edited], _hex(prints[:-1]), _hex(changed), likeness(prints[:-1], changed), likeness(prints[:-1], prints[1:]))
+        yield rows(_OUT, [None if i == -(2**63) else i for i in ids[lo:hi]], [len(x) for x in own], [hashlib.sha256(x.encode()).hexdigest() for x in edited], _hex(prints[:-1]), _hex(changed), likeness(prints[:-1], changed), likeness(prints[:-1], prints[1:]))
         lo = hi
 
 
