@@ -7,7 +7,7 @@ and each window is compared word by word. Items of fewer than `span` words are o
 at full length.
 
 Defined results: a null or empty text has no words, so it is never hit; an item without words is ignored; items of equal
-text or equal id all count (ids once); repeated document rows give repeated result rows; empty tables give an empty result
+text or equal id all count (ids once; null counts as one id and is named in no digest); repeated document rows give repeated result rows; empty tables give an empty result
 or no hits; other columns are ignored.
 """
 
@@ -48,7 +48,7 @@ class Index:
 
     def __init__(self, items: list[tuple[object, str | None]], span: int = SPAN, k: int = K):
         self.span, self.k = span, k
-        self.windows: dict[int, dict[int, list[tuple[tuple[bytes, ...], set[str]]]]] = {}
+        self.windows: dict[int, dict[int, list[tuple[tuple[bytes, ...], set[str | None]]]]] = {}
         prints: list[np.ndarray] = [np.zeros(0, U64)]
         column = pa.array([t for _, t in items], type=pa.string())
         for w in words_of(column, ALNUM, LOWER):
@@ -60,20 +60,22 @@ class Index:
                 if a == b:
                     continue
                 n = min(span, b - a)
+                item = items[w.lo + i][0]
+                item = None if item is None else str(item)
                 table = self.windows.setdefault(n, {})
                 own = [w.word(j) for j in range(a, b)]
                 for j, x in enumerate(grams(h[a:b], n).tolist()):
                     key, same = tuple(own[j : j + n]), table.setdefault(x, [])
                     for known, ids in same:
                         if known == key:
-                            ids.add(str(items[w.lo + i][0]))
+                            ids.add(item)
                             break
                     else:
-                        same.append((key, {str(items[w.lo + i][0])}))
+                        same.append((key, {item}))
         self.prints = Lookup(np.concatenate(prints))
         self.tables = {n: Lookup(np.fromiter(t, U64, len(t))) for n, t in self.windows.items()}
 
-    def hits(self, w: Words) -> Iterator[tuple[int, int, set[str]]]:
+    def hits(self, w: Words) -> Iterator[tuple[int, int, set[str | None]]]:
         """(first word, length, items) of each occurrence of a window."""
         h = w.hashes()
         for n, table in self.tables.items():
@@ -108,7 +110,7 @@ def _scan(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.Record
         counts, spans, items = [], [], []
         for w in words_of(batch.column(1), ALNUM, LOWER):
             counts.append(w.counts)
-            found: dict[int, list[tuple[int, int, set[str]]]] = {}
+            found: dict[int, list[tuple[int, int, set[str | None]]]] = {}
             for i, n, ids in index.hits(w):
                 found.setdefault(int(np.searchsorted(w.first, i, side="right")) - 1, []).append((i, n, ids))
             for t in range(w.hi - w.lo):
@@ -120,7 +122,7 @@ def _scan(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.Record
                     else:
                         own.append({"first": i - a, "last": i - a + n - 1})
                 spans.append(own)
-                items.append(sorted(names))
+                items.append(sorted(names, key=lambda x: (x is None, x or "")))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(counts) if counts else [], pa.int64()), pa.array(spans, _OUT.field(2).type), pa.array(items, _OUT.field(3).type)], schema=_OUT)
 
 
