@@ -12,7 +12,7 @@ Score: each word takes its heaviest match, unless an exception phrase covers it;
 sample, of the logarithm of their sum and of their sum for each hundred words.
 
 Defined results: a null or empty text has no matches; ids that are labelled twice count as toxic if any label says so;
-without toxic training rows every score is 0; null labels are ignored; repeated rows repeat; other columns are ignored;
+without training rows of both kinds every score is 0; null labels are ignored; repeated rows repeat; other columns are ignored;
 an empty table gives an empty result.
 """
 
@@ -148,7 +148,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample
     kept = rows.join(one, ["key", "toxic", "doc_id"], "left_semi")
     counts = kept.select("toxic", "words").mapInArrow(_counts, "term string, toxic long, other long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     n1, n0 = counts.where("term = ''").select("toxic", "other").first() or (0, 0)
-    if not n1:
+    if not n1 or not n0:
         return {}, np.array([-50.0, 0.0, 0.0])
     weight = F.log((F.col("toxic") + 0.5) / (n1 + 1)) - F.log((F.col("other") + 0.5) / (n0 + 1))
     found = counts.where(f"term <> '' and toxic >= {max(LEAST, LEAST_SHARE * n1)}").withColumn("weight", weight).where(f"weight >= {LEAST_WEIGHT}").orderBy(F.desc("weight"), "term").limit(MOST_TERMS).collect()
