@@ -9,7 +9,7 @@ and every pair of blocks is its own group. A group gives links that join all it
 
 Defined results: a null or empty text has fingerprint zero and is linked like any other; equal texts have equal
 fingerprints; a text of fewer words than a shingle has one shingle, the whole; rows of one id are all kept, the component
-is the smallest id that can be reached; other columns are ignored; an empty table gives an empty result.
+is the smallest id that can be reached (a null id isn't one; null if there is no other); other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
