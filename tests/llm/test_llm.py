@@ -11,6 +11,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from oracle import SF, duck, rows  # noqa: E402
@@ -266,3 +267,39 @@ def test_pipeline_stages(spark):
     end = corpus_pipeline.STAGES[-1][1](spark, last, SF).collect()
     assert {r["doc_id"] for r in end} == {r["doc_id"] for r in last.collect()} <= set(before)
     assert {r["decoded_sha256"] for r in end} == {hashlib.sha256(r["text"].encode()).hexdigest() for r in last.collect()}
+
+
+NULLS = [(1, PASSAGE, "en", 3), (None, PASSAGE, "en", 3), (None, None, None, None), (2, None, None, 1), (None, "the mit license x", "en", 1), (3, "", None, None), (3, "", None, None)]
+
+
+@pytest.fixture(scope="module")
+def nulls(spark):
+    return spark.createDataFrame([r + (9,) * 5 for r in NULLS], "doc_id long, text string, lang string, n_chars long, fp long, key long, n long, words long, component_id long")
+
+
+@pytest.mark.parametrize(
+    "scan",
+    [licenses.scan_licenses, imatch.compare_edited, simhash.near_duplicates, lm.score_texts, repeats.cut_repeats, lambda d: language.identify(d, d), lambda d: toxicity.score_toxicity(d, d.select("doc_id", F.col("key").alias("toxic")))],
+    ids=["licenses", "imatch", "simhash", "lm", "repeats", "language", "toxicity"],
+)
+def test_rows_of_null_id_are_answered(nulls, scan):
+    assert Counter(r["doc_id"] for r in scan(nulls).collect()) == Counter(r[0] for r in NULLS)
+
+
+def test_rows_of_null_id_neither_lead_nor_teach(spark, nulls):
+    assert all(r["n_removed"] == 0 for r in repeats.cut_repeats(nulls).collect())
+    assert all((r["held_out"] is None) == (r["doc_id"] is None) and r["train_tokens"] == 34 for r in lm.score_texts(nulls).collect())
+    kept = corpus_pipeline.simhash_stage(spark, nulls, "").collect()
+    assert Counter(r["doc_id"] for r in kept) == {1: 1, 2: 1, None: 3}
+    assert corpus_pipeline.substring_stage(spark, nulls, "").columns == nulls.columns
+
+
+def test_items_of_null_id_count(spark, nulls):
+    items = spark.createDataFrame([(None, "mit license"), (4, PASSAGE)], "item_id long, text string")
+    found = decontaminate.find_leaks(nulls, items).collect()
+    assert sorted((r["items"] for r in found if r["hits"]), key=str) == [["4"], ["4"], [None]]
+    assert decontaminate.drop_leaks(nulls, items).count() == 4
+
+
+def test_labels_of_one_kind_reject_nothing(nulls):
+    assert toxicity.reject_toxic(nulls, nulls.select("doc_id", F.lit(1).alias("toxic"))).count() == len(NULLS)
