@@ -31,6 +31,18 @@ def hot_keys(df: DataFrame, interval: int, p: int, scale: int = 1) -> DataFrame:
     return d.join(totals, "iv").where("n > thr").select("iv", "key", "n")
 
 
+def hot_keys_sketched(df: DataFrame, interval: int, p: int, tracked: int = 10_000, eps: float = 0.05, confidence: float = 0.9, seed: int = 33) -> DataFrame:
+    """(iv, key, n) like hot_keys; n is a count-min estimate in intervals that follow one of at least `tracked` distinct keys."""
+    width, depth = sketch_size(eps, confidence)
+    cells = F.array(*[F.struct(F.lit(i).alias("row"), bucket(F.col("key"), a, width).alias("bucket")) for i, a in enumerate(multipliers(depth, seed))])
+    d = df.where("key is not null").groupBy(F.floor(F.col("ts") / interval).cast("long").alias("iv"), "key").agg(F.count("*").alias("n"))
+    last = d.groupBy("iv").agg(F.floor(F.sum("n") / p).cast("long").alias("thr"), (F.count("*") >= tracked).alias("wide")).withColumn("iv", F.col("iv") + 1)
+    at = d.select("iv", "key", "n", F.explode(cells).alias("x")).select("iv", "key", "n", "x.row", "x.bucket")
+    sketch = at.groupBy("iv", "row", "bucket").agg(F.sum("n").alias("cell"))
+    estimate = at.join(sketch, ["iv", "row", "bucket"]).groupBy("iv", "key").agg(F.max("n").alias("n"), F.min("cell").alias("estimate"))
+    return estimate.join(last, "iv").select("iv", "key", F.when(F.col("wide"), F.col("estimate")).otherwise(F.col("n")).alias("n"), "thr").where("n > thr").drop("thr")
+
+
 def top_keys(df: DataFrame, interval: int, k: int) -> DataFrame:
     """(iv, rank, key, n): the k most frequent keys of each interval; ties by key."""
     d = df.groupBy(F.floor(F.col("ts") / interval).cast("long").alias("iv"), "key").agg(F.count("*").alias("n"))

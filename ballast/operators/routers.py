@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ballast.functions.windows import checked
+from ballast.operators.hotkeys import multipliers, sketch_size
 from ballast.operators.static import GOLDEN
 from ballast.shared import ship
 
@@ -94,27 +95,59 @@ class Affine(TwoChoices):
         return b if key in self.panes.keys[b] else super().choose(key, a, b)
 
 
+class CountMin:
+    """A count-min sketch of one interval, with the cells of hotkeys.count_min."""
+
+    def __init__(self, eps: float = 0.05, confidence: float = 0.9, seed: int = 33):
+        self.width, depth = sketch_size(eps, confidence)
+        self.factors = multipliers(depth, seed)
+        self.cells = [[0] * self.width for _ in range(depth)]
+
+    def add(self, key: int) -> int:
+        """Count the key once more and estimate its count."""
+        least = None
+        for row, a in zip(self.cells, self.factors, strict=True):
+            at = key * a % ((1 << 31) - 1) % self.width
+            row[at] += 1
+            least = row[at] if least is None else min(least, row[at])
+        return least or 0
+
+
 class HotTest:
-    """Counts by interval. Hot: more than the last interval's total / (scale * p). roll_first: a boundary record opens the new interval."""
+    """Counts by interval. Hot: more than the last interval's total / (scale * p). roll_first: a boundary record opens the new interval.
 
-    def __init__(self, p: int, interval: int, scale: int = 1, roll_first: bool = True):
-        self.share, self.interval, self.roll_first = scale * p, interval, roll_first
+    After an interval of at least `tracked` distinct keys the next one counts in a sketch, so memory is bounded by `tracked`
+    and one interval.
+    """
+
+    def __init__(self, p: int, interval: int, scale: int = 1, roll_first: bool = True, tracked: int = 10_000):
+        self.share, self.interval, self.roll_first, self.tracked = scale * p, interval, roll_first, tracked
         self.next, self.total, self.least = interval, 0, float("inf")
         self.counts: Counter = Counter()
+        self.sketch: CountMin | None = None
+        self.known: set[int] = set()  # distinct keys of an interval that counts in a sketch, up to `tracked`
 
     def _roll(self, ts: int) -> None:
         while ts >= self.next:
             self.least = self.total // self.share
-            self.total, self.counts = 0, Counter()
+            self.sketch = CountMin() if max(len(self.counts), len(self.known)) >= self.tracked else None
+            self.total, self.counts, self.known = 0, Counter(), set()
             self.next += self.interval
 
+    def _count(self, key: int) -> int:
+        if self.sketch is None:
+            self.counts[key] += 1
+            return self.counts[key]
+        if len(self.known) < self.tracked:
+            self.known.add(key)
+        return self.sketch.add(key)
+
     def __call__(self, key: int, ts: int) -> int:
         """Until when the key is hot, or 0."""
         if self.roll_first:
             self._roll(ts)
         self.total += 1
-        self.counts[key] += 1
-        until = self.next + self.interval if self.counts[key] > self.least else 0
+        until = self.next + self.interval if self._count(key) > self.least else 0
         if not self.roll_first:
             self._roll(ts)
         return until

@@ -12,10 +12,18 @@ KEY_BITS = 16
 
 def sparse_uniform(rng: np.random.Generator, n_out: int, n_in: int, sparsity: float = SPARSITY) -> np.ndarray:
     """Uniform within 1 / sqrt(n_in), then the given share of each row's entries set to zero."""
-    w = rng.uniform(-1, 1, (n_out, n_in)) / np.sqrt(n_in)
+    return sparse_start(rng, (n_out, n_in), sparsity)
+
+
+def sparse_start(rng: np.random.Generator, shape: tuple[int, ...], sparsity: float = SPARSITY, normal: bool = False) -> np.ndarray:
+    """Weights of a linear (two axes) or convolutional (four) layer: uniform or normal, scaled by the inputs of an output."""
+    if len(shape) not in (2, 4):
+        raise ValueError("weights have two or four axes")
+    n_in = int(np.prod(shape[1:]))
+    w = (rng.standard_normal((shape[0], n_in)) if normal else rng.uniform(-1, 1, (shape[0], n_in))) / np.sqrt(n_in)
     for row in w:
         row[rng.choice(n_in, int(np.ceil(sparsity * n_in)), replace=False)] = 0
-    return w
+    return w.reshape(shape)
 
 
 class RunningStats:
@@ -52,22 +60,33 @@ class RewardScale:
 
 
 class StepBound:
-    """Eligibility traces with a step that can't overshoot."""
+    """Eligibility traces with a step that can't overshoot. adaptive: each entry over the root of its second moment."""
 
-    def __init__(self, shapes: list[tuple[int, ...]], rate: float = RATE, gamma: float = GAMMA, lam: float = LAMBDA, kappa: float = KAPPA):
+    def __init__(self, shapes: list[tuple[int, ...]], rate: float = RATE, gamma: float = GAMMA, lam: float = LAMBDA, kappa: float = KAPPA, adaptive: bool = False, beta: float = 0.999, eps: float = 1e-8):
         self.rate, self.decay, self.kappa = rate, gamma * lam, kappa
         self.traces = [np.zeros(s) for s in shapes]
+        self.beta, self.eps, self.n = beta, eps, 0
+        self.moments = [np.zeros(s) for s in shapes] if adaptive else None
+
+    def _directions(self, delta: float) -> list[np.ndarray]:
+        if self.moments is None:
+            return self.traces
+        self.n += 1
+        for v, e in zip(self.moments, self.traces, strict=True):
+            v += (1 - self.beta) * ((delta * e) ** 2 - v)
+        return [e / np.sqrt(v / (1 - self.beta**self.n) + self.eps) for v, e in zip(self.moments, self.traces, strict=True)]
 
     def apply(self, params: list[np.ndarray], grads: list[np.ndarray], delta: float, reset: bool = False) -> float:
-        total = 0.0
         for e, g in zip(self.traces, grads, strict=True):
             e *= self.decay
             e += g
-            total += np.abs(e).sum()
+        ways = self._directions(delta)
+        total = sum(float(np.abs(x).sum()) for x in ways)
         step = self.rate / max(1.0, max(abs(delta), 1.0) * total * self.kappa * self.rate)
-        for w, e in zip(params, self.traces, strict=True):
-            w += delta * step * e
-            if reset:
+        for w, x in zip(params, ways, strict=True):
+            w += delta * step * x
+        if reset:
+            for e in self.traces:
                 e[:] = 0
         return step
 
@@ -118,10 +137,13 @@ class QNetwork:
 
 
 class Sarsa:
-    def __init__(self, n_in: int, n_out: int, seed: int = 3, start: float = 0.1, end: float = 0.01, steps: int = 500_000):
+    """watch: count the updates after which the error has changed its sign, in `overshoots`."""
+
+    def __init__(self, n_in: int, n_out: int, seed: int = 3, start: float = 0.1, end: float = 0.01, steps: int = 500_000, adaptive: bool = False, watch: bool = False):
         self.rng = np.random.default_rng(seed)
         self.net = QNetwork(n_in, n_out, self.rng)
-        self.bound = StepBound([p.shape for p in self.net.params])
+        self.bound = StepBound([p.shape for p in self.net.params], adaptive=adaptive)
+        self.watch, self.overshoots = watch, 0
         self.start, self.end, self.steps, self.t, self.n_out = start, end, steps, 0, n_out
 
     @property
@@ -139,6 +161,9 @@ class Sarsa:
         after = 0.0 if done else GAMMA * self.net.values(s2)[0][a2]
         delta = float(r + after - q[a])
         self.bound.apply(self.net.params, self.net.gradient(kept, a), delta, done)
+        if self.watch:
+            after = 0.0 if done else GAMMA * self.net.values(s2)[0][a2]
+            self.overshoots += delta * float(r + after - self.net.values(s)[0][a]) < 0
         return delta
 
 

@@ -22,6 +22,18 @@ def imbalance(df: DataFrame, size: int, slide: int, p: int) -> DataFrame:
     return n.groupBy("ws", "worker").agg(F.sum("n").alias("n")).groupBy("ws").agg(F.round(F.max("n") * p / F.sum("n") - 1, 9).alias("imbalance"))
 
 
+def load_summary(df: DataFrame, size: int, slide: int, p: int) -> DataFrame:
+    """(pane, mean, most): mean over all p workers and largest of the workers' sliding loads, in panes where any record came.
+
+    A worker without records in a pane still has the load of the panes before it.
+    """
+    m = checked(size, slide)
+    n = df.groupBy("worker", pane_of(F.col("ts"), slide).alias("pane")).agg(F.count("*").alias("n"))
+    spread = n.select("worker", F.explode(F.sequence(F.col("pane"), F.col("pane") + m)).alias("pane"), "n").groupBy("worker", "pane").agg(F.sum("n").alias("load"))
+    some = n.select("pane").distinct()
+    return spread.join(some, "pane", "left_semi").groupBy("pane").agg((F.sum("load") / p).alias("mean"), F.max("load").alias("most"))
+
+
 def _distinct(df: DataFrame, slide: int) -> DataFrame:
     return df.select(pane_of(F.col("ts"), slide).alias("pane"), "key", "worker").distinct()
 

@@ -11,6 +11,7 @@ from ballast.functions.windows import pane_of
 from ballast.operators import clustering, hotkeys, static, stats, wordcount
 from ballast.operators.cooperative import routed_cooperatively
 from ballast.operators.routers import ROUTERS, routed
+from ballast.shared import shared_dir
 from ballast.sources import records
 
 P, SIZE, SLIDE = 8, 2000, 500
@@ -62,9 +63,31 @@ def _circular(spark: SparkSession, d: str) -> DataFrame:
     return records.replayed(e, e.count(), 2, 2)
 
 
+def _orders(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/orders.parquet").select((F.col("o_orderkey") - 1).cast("long").alias("ts"), (F.col("o_custkey") % 100).cast("int").alias("key"), F.col("o_orderstatus").alias("str"))
+
+
 def _two(spark: SparkSession, d: str) -> DataFrame:
-    orders = spark.read.parquet(f"{d}/orders.parquet").select((F.col("o_orderkey") - 1).cast("long").alias("ts"), (F.col("o_custkey") % 100).cast("int").alias("key"), F.col("o_orderstatus").alias("str"))
-    return records.two_sources(records.events(spark, d), orders)
+    return records.two_sources(records.events(spark, d), _orders(spark, d))
+
+
+def _alternate(spark: SparkSession, d: str) -> DataFrame:
+    e, orders = records.events(spark, d), _orders(spark, d)
+    return records.two_sources(e, orders, True, e.count(), orders.count())
+
+
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    """Events as lines, every 97th with a bad key, read back."""
+    e = records.events(spark, d)
+    path = shared_dir(spark)
+    key = F.when(F.col("ts") % 97 == 0, F.lit("x")).otherwise(F.col("key").cast("string"))
+    e.select("ts", F.concat_ws(",", key, "str").alias("value")).orderBy("ts").select("value").write.text(path)
+    return records.read_lines(spark, path)
+
+
+def _normalised(spark: SparkSession, d: str) -> DataFrame:
+    found = stats.normalised(spark.read.parquet(f"{d}/events.parquet").select("user_id", "event_id", "value"), "user_id", "event_id", "value")
+    return found.select("user_id", "event_id", F.round(F.col("normalised") + 1e-9, 6).alias("normalised"))
 
 
 def _estimates(spark: SparkSession, d: str) -> DataFrame:
@@ -95,6 +118,8 @@ def queries() -> dict[str, Query]:
         "rec_project": records.events,
         "source_circular": _circular,
         "source_two_files": _two,
+        "source_alternate": _alternate,
+        "source_lines": _lines,
         "union_streams": lambda s, d: _two(s, d).groupBy("agent_id", "key").agg(F.count("*").alias("n"), F.max("ts").alias("last")),
         "part_hashing": lambda s, d: _hashed(s, d).select("ts", "key", "worker"),
         "part_shuffling": lambda s, d: _shuffled(s, d).select("ts", "key", "worker"),
@@ -102,15 +127,18 @@ def queries() -> dict[str, Query]:
         "placement": lambda s, d: static.placed(_hashed(s, d), P).select("ts", "worker", F.spark_partition_id().alias("partition")),
         "load_sliding": lambda s, d: stats.load(_hashed(s, d), SIZE, SLIDE),
         "load_imbalance": lambda s, d: stats.imbalance(_hashed(s, d), SIZE, SLIDE, P),
+        "load_summary": lambda s, d: stats.load_summary(_hashed(s, d), SIZE, SLIDE, P),
         "cardinality_sliding": lambda s, d: stats.cardinality(_hashed(s, d), SIZE, SLIDE),
         "fragmentation_sliding": lambda s, d: stats.fragmentation(_shuffled(s, d), SIZE, SLIDE),
         "replication_factor": lambda s, d: stats.replication(_shuffled(s, d), SIZE, SLIDE),
         "reward_static": lambda s, d: stats.rewards(_shuffled(s, d), SIZE, SLIDE, P),
         "welford_running": _welford,
+        "normalised_running": _normalised,
         "qtable_merge": _qtables,
         "hot_status_per_record": lambda s, d: hotkeys.hot_status(records.events(s, d), SLIDE, P).select("ts", "key", "hot"),
         "hot_keys_exact": lambda s, d: hotkeys.hot_keys(records.events(s, d), SLIDE, P),
         "hot_keys_dag": lambda s, d: hotkeys.hot_keys(records.events(s, d), SLIDE, P, 100),
+        "hot_keys_sketch": lambda s, d: hotkeys.hot_keys_sketched(records.events(s, d), SLIDE, P, 100),
         "topk_keys": lambda s, d: hotkeys.top_keys(records.events(s, d), SLIDE, P),
         "cms_estimate": _estimates,
         "sim_pairs_part": lambda s, d: clustering.similar_pairs(_parts(s, d)),
@@ -152,6 +180,12 @@ def _cms_sql() -> str:
     return f"WITH {_REC}, m(r, a) AS (VALUES {rows}), c AS (SELECT key, r, ((key * a) % 2147483647) % {width} b FROM rec, m), s AS (SELECT r, b, count(*) n FROM c GROUP BY r, b) SELECT key, min(n) AS estimate FROM (SELECT DISTINCT * FROM c) JOIN s USING (r, b) GROUP BY key"
 
 
+def _sketch_sql() -> str:
+    width, depth = hotkeys.sketch_size(0.05, 0.9)
+    rows = ", ".join(f"({i}, {a}::BIGINT)" for i, a in enumerate(hotkeys.multipliers(depth)))
+    return f"{_COUNTS}, m(r, a) AS (VALUES {rows}), c AS (SELECT iv, key, n, r, ((key * a) % 2147483647) % {width} b FROM n, m), s AS (SELECT iv, r, b, sum(n) x FROM c GROUP BY ALL), e AS (SELECT iv, key, max(n) n, min(x) x FROM c JOIN s USING (iv, r, b) GROUP BY ALL), t AS (SELECT iv + 1 iv, sum(n) // {P} thr, count(*) >= 100 wide FROM n GROUP BY iv) SELECT iv, key, CAST(CASE WHEN wide THEN x ELSE n END AS BIGINT) n FROM e JOIN t USING (iv) WHERE CASE WHEN wide THEN x ELSE n END > thr"
+
+
 def oracle_sql() -> dict[str, str]:
     orders = "SELECT 2 agent_id, CAST(2 + 2 * (o_orderkey - 1) AS BIGINT) ts, CAST(o_custkey % 100 AS INTEGER) AS key, o_orderstatus str FROM orders"
     two = f"WITH {_REC}, u AS (SELECT 1 agent_id, 1 + 2 * ts ts, key, str FROM rec UNION ALL {orders})"
@@ -164,22 +198,27 @@ def oracle_sql() -> dict[str, str]:
         "rec_project": f"WITH {_REC} SELECT * FROM rec",
         "source_circular": f"WITH {_REC} SELECT CAST(a AS INTEGER) agent_id, ts + c * (SELECT count(*) FROM rec) ts, key, str FROM rec, range(2) t(c), range(2) u(a)",
         "source_two_files": f"{two} SELECT * FROM u",
+        "source_alternate": f"WITH {_REC}, o AS (SELECT o_orderkey - 1 ts, CAST(o_custkey % 100 AS INTEGER) AS key, o_orderstatus str FROM orders), l AS (SELECT least((SELECT count(*) FROM rec), (SELECT count(*) FROM o)) n) SELECT 0 agent_id, CAST(2 * ts AS BIGINT) ts, key, str FROM rec, l WHERE ts < n UNION ALL SELECT 0, CAST(2 * ts + 1 AS BIGINT), key, str FROM o, l WHERE ts < n",
+        "source_lines": f"WITH {_REC} SELECT 0 agent_id, row_number() OVER (ORDER BY ts) - 1 ts, key, split_part(str, ',', 1) str FROM rec WHERE ts % 97 <> 0",
         "union_streams": f"{two} SELECT agent_id, key, count(*) n, max(ts) AS last FROM u GROUP BY ALL",
         "part_hashing": f"WITH {_REC} SELECT ts, key, CAST(key % {P} AS INTEGER) worker FROM rec",
         "part_shuffling": f"WITH {_REC} SELECT ts, key, CAST((row_number() OVER (ORDER BY ts) - 1) % {P} AS INTEGER) worker FROM rec",
         "part_two_choice_candidates": f"WITH {_REC} SELECT ts, key, CAST(key % {P} AS INTEGER) h1, CAST(floor({P} * ({x} - trunc({x}))) AS INTEGER) h2 FROM rec",
         "placement": f"WITH {_REC} SELECT ts, CAST(key % {P} AS INTEGER) worker, CAST(key % {P} AS INTEGER) AS partition FROM rec",
         "load_sliding": f"WITH {_REC}, n AS (SELECT CAST(key % {P} AS INTEGER) worker, ts // {SLIDE} pane, count(*) n FROM rec GROUP BY ALL) SELECT worker, pane, CAST(sum(n) OVER (PARTITION BY worker ORDER BY pane RANGE BETWEEN {M} PRECEDING AND CURRENT ROW) AS BIGINT) load FROM n",
+        "load_summary": f"WITH {_REC}, n AS (SELECT CAST(key % {P} AS INTEGER) worker, ts // {SLIDE} pane, count(*) n FROM rec GROUP BY ALL), l AS (SELECT p.pane, worker, sum(n) l FROM (SELECT DISTINCT pane FROM n) p JOIN n ON n.pane BETWEEN p.pane - {M} AND p.pane GROUP BY ALL) SELECT pane, sum(l) / {P}::DOUBLE mean, CAST(max(l) AS BIGINT) most FROM l GROUP BY pane",
         "load_imbalance": f"{_HASHED} SELECT ws, round(max(l) * {P} / sum(l) - 1, 9) imbalance FROM (SELECT ws, worker, sum(n) l FROM n GROUP BY ALL) GROUP BY ws",
         "cardinality_sliding": f"{_HASHED} SELECT ws, worker, count(DISTINCT key) AS keys FROM n GROUP BY ALL",
         "fragmentation_sliding": f"{_SHUFFLED} SELECT ws, key, count(DISTINCT worker) workers FROM n GROUP BY ALL",
         "replication_factor": f"{_SHUFFLED} SELECT ws, round(avg(w), 9) replication FROM (SELECT ws, key, count(DISTINCT worker) w FROM n GROUP BY ALL) GROUP BY ws",
         "reward_static": f"{_SHUFFLED}, l AS (SELECT ws, worker, CAST(sum(n) AS DOUBLE) l FROM n GROUP BY ALL), m AS (SELECT ws, sum(l) / {P} m FROM l GROUP BY ws), k AS (SELECT ws, key, count(*) kf FROM n GROUP BY ALL) SELECT n.ws, n.key, n.worker, round(-(0.5::DOUBLE * (l - m) / greatest(l, m) + 0.5::DOUBLE * kf / {P}), 9) reward FROM n JOIN l USING (ws, worker) JOIN m USING (ws) JOIN k ON k.ws = n.ws AND k.key = n.key",
         "welford_running": "SELECT user_id, event_id, round(avg(value) OVER w + 1e-9, 6) mean, round(CASE WHEN count(value) OVER w < 2 THEN 1.0 ELSE var_samp(value) OVER w END + 1e-9, 6) var FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)",
+        "normalised_running": "SELECT user_id, event_id, round((value - avg(value) OVER w) / sqrt(CASE WHEN count(value) OVER w < 2 THEN 1.0 ELSE var_samp(value) OVER w END + 1e-8) + 1e-9, 6) normalised FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)",
         "qtable_merge": f"WITH {_REC}, q AS (SELECT key, CAST(a AS INTEGER) AS action, ts % 5 + 1 n, -((key * 7 + ts * (a + 3)) % 100) / 50.0::DOUBLE q FROM rec, range(4) t(a)) SELECT key, action, round(sum(n * q) / sum(n), 9) q FROM q GROUP BY ALL",
         "hot_status_per_record": f"{_HOT} SELECT ts, key, hot FROM h",
         "hot_keys_exact": f"{_COUNTS} SELECT iv, key, n FROM n WHERE n > (SELECT sum(n) // {P} FROM n x WHERE x.iv = n.iv - 1)",
         "hot_keys_dag": f"{_COUNTS} SELECT iv, key, n FROM n WHERE n > (SELECT sum(n) // {100 * P} FROM n x WHERE x.iv = n.iv - 1)",
+        "hot_keys_sketch": _sketch_sql(),
         "topk_keys": f"{_COUNTS} SELECT iv, CAST(r AS INTEGER) AS rank, key, n FROM (SELECT *, row_number() OVER (PARTITION BY iv ORDER BY n DESC, key) r FROM n) WHERE r <= {P}",
         "cms_estimate": _cms_sql(),
         "sim_pairs_part": _PAIRS,

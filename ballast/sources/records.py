@@ -5,8 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 RECORD = "agent_id int, ts long, key int, str string"
@@ -38,29 +37,29 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    n, part = 0, TaskContext.get().partitionId()
+    """Rows (file, start, key, str) with their place n in the piece of the file they come from."""
+    n, at = 0, None
     for batch in batches:
-        size = batch.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array([part] * size, pa.int32()), pa.array(range(n, n + size), pa.int64()), *batch.columns], names=["part", "n", "key", "str"])
-        n += size
+        places = []
+        for piece in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            n, at = (n + 1 if piece == at else 0), piece
+            places.append(n)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places, pa.int64())], names=["file", "start", "key", "str", "n"])
 
 
 def read_lines(spark: SparkSession, path: str, agent_id: int = 0, start: int = 0, step: int = 1) -> DataFrame:
     """Lines `key,string[,ignored]` as records in file order.
 
-    A bad key, or no second field, drops the line and takes no ordinal; a missing file raises. Ordinals are the rows'
-    places within their partition after the partitions' counts, so no task sees all rows.
+    A bad key, or no second field, drops the line and takes no ordinal; a missing file raises; files of a folder follow each
+    other by name. An ordinal is the row's place in its piece of a file after the counts of the pieces before: no task sees
+    all rows, and the running sum is over one row for each piece that Spark reads.
     """
     fields = F.split("value", ",")
-    lines = spark.read.text(path).select(F.expr("try_cast(trim(split(value, ',')[0]) as int)").alias("key"), F.get(fields, 1).alias("str")).where("key is not null and str is not null and str <> ''")
-    placed = lines.mapInArrow(_numbered, "part int, n long, key int, str string")
-    counts = sorted((r["part"], r["count"]) for r in placed.groupBy("part").count().collect())
-    total, before = 0, []
-    for part, n in counts:
-        before += [F.lit(part), F.lit(total)]
-        total += n
-    offset = F.element_at(F.create_map(*before), F.col("part")) if before else F.lit(0)
-    return placed.select(F.lit(agent_id).alias("agent_id"), (F.lit(start) + F.lit(step) * (offset + F.col("n"))).cast("long").alias("ts"), "key", "str")
+    pieces = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.expr("try_cast(trim(split(value, ',')[0]) as int)").alias("key"), F.get(fields, 1).alias("str"))
+    placed = pieces.where("key is not null and str is not null and str <> ''").mapInArrow(_numbered, "file string, start long, key int, str string, n long")
+    counts = placed.groupBy("file", "start").agg(F.count("*").alias("size"))
+    before = counts.select("file", "start", F.coalesce(F.sum("size").over(Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return placed.join(before, ["file", "start"]).select(F.lit(agent_id).alias("agent_id"), (F.lit(start) + F.lit(step) * (F.col("before") + F.col("n"))).cast("long").alias("ts"), "key", "str")
 
 
 def replayed(df: DataFrame, n: int, cycles: int, agents: int = 1) -> DataFrame:
@@ -69,6 +68,12 @@ def replayed(df: DataFrame, n: int, cycles: int, agents: int = 1) -> DataFrame:
     return df.withColumn("cycle", rounds).withColumn("agent_id", F.explode(F.sequence(F.lit(0), F.lit(agents - 1)))).select("agent_id", (F.col("cycle") * F.lit(n) + F.col("ts")).cast("long").alias("ts"), "key", "str")
 
 
+def circular_stream(ticks: DataFrame, df: DataFrame, n: int, agent_id: int = 0) -> DataFrame:
+    """An endless replay of n records with ordinals from 0. ticks: a rate stream (value from 0), which sets the pace."""
+    place = df.select(F.col("ts").alias("place"), "key", "str")
+    return ticks.withColumn("place", F.col("value") % n).join(place, "place").select(F.lit(agent_id).alias("agent_id"), F.col("value").alias("ts"), "key", "str")
+
+
 def two_sources(first: DataFrame, second: DataFrame, alternate: bool = False, n_first: int = 0, n_second: int = 0) -> DataFrame:
     """Two sources with ordinals from 0 each: source 1 takes the odd ordinals, source 2 the even ones from 2.
 

@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ballast.functions.text import split_words
+from ballast.operators.cooperative import route_round
 from ballast.operators.routers import ROUTERS
 from ballast.shared import ship
 
@@ -52,6 +53,34 @@ def routed_stream(df: DataFrame, name: str, p: int, size: int, slide: int) -> Da
     return df.where("key is not null").groupBy("agent_id").applyInPandasWithState(run, "agent_id int, ts long, key int, str string, worker int, is_hot boolean", "state binary", "append", GroupStateTimeout.NoTimeout)
 
 
+class Cooperation:
+    """A foreachBatch sink: each micro-batch is a round of cooperating agents, and its end their sync point.
+
+    Routed rows of batch b go to `path`/routed/batch=b, the merged values to `path`/values/batch=b; both replace what an
+    interrupted run of the same batch left, and a restarted query goes on from the values of the batch before.
+    """
+
+    def __init__(self, path: str, p: int, size: int, slide: int, agents: int):
+        self.path, self.args, self.at = path, (p, size, slide, agents), -1
+        self.table: dict[int, list[float]] = {}
+        self.hot: list[int] = []
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        if batch_id and self.at != batch_id - 1:
+            rows = spark.read.schema("key int, q array<double>").parquet(f"{self.path}/values/batch={batch_id - 1}").collect()  # at most p keys
+            self.table = {r["key"]: list(r["q"]) for r in rows}
+            self.hot = sorted(self.table)
+        first = batch.agg(F.min("ts")).first()[0]
+        if first is not None:
+            slide = self.args[2]
+            rows, self.table, self.hot = route_round(batch, *self.args, self.table, first // slide * slide, self.hot)
+            rows.write.mode("overwrite").parquet(f"{self.path}/routed/batch={batch_id}")
+        values = spark.createDataFrame([(k, q) for k, q in self.table.items()], "key int, q array<double>")
+        values.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/values/batch={batch_id}")
+        self.at = batch_id
+
+
 class ProgressSink(StreamingQueryListener):
     """Rows and rates of each micro-batch, with the driver's memory, as lines of a CSV file."""
 

@@ -160,3 +160,67 @@ def test_empty_input(spark):
     assert routers.routed(df, "bandit", 4, 20, 10).count() == 0
     assert stats.load(df.withColumn("worker", F.lit(0)), 20, 10).count() == 0
     assert isinstance(hotkeys.count_min(df).toPandas(), pd.DataFrame)
+
+
+def test_hot_test_counts_in_a_sketch_after_many_keys(spark):
+    rng = random.Random(4)
+    keys = [rng.choice([0, 1, 2, rng.randrange(300)]) for _ in range(400)]
+    test, hot = routers.HotTest(4, 100, tracked=20), set()
+    for t, k in enumerate(keys):
+        if test(k, t):
+            hot.add((t // 100, k))
+        assert len(test.known) <= 20
+    df = spark.createDataFrame(list(enumerate(keys)), "ts long, key int")
+    assert hot == {(r["iv"], r["key"]) for r in hotkeys.hot_keys_sketched(df, 100, 4, 20).collect()}
+
+
+def test_read_lines_of_a_folder_in_order_of_names(spark, tmp_path):
+    (tmp_path / "b.csv").write_text("3,c\n")
+    (tmp_path / "a.csv").write_text("1,a\nx,\n2,b\n" * 50)
+    got = [tuple(r)[1:] for r in records.read_lines(spark, str(tmp_path), 0, 1, 2).orderBy("ts").collect()]
+    assert got == [(2 * i + 1, i % 2 + 1, "ab"[i % 2]) for i in range(100)] + [(201, 3, "c")]
+
+
+def test_circular_stream(spark, tmp_path):
+    ticks = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 7).load()
+    df = spark.createDataFrame([(0, 5, "a"), (1, 6, "b"), (2, 7, "c")], "ts long, key int, str string")
+    q = records.circular_stream(ticks, df, 3).writeStream.format("memory").queryName("circle").option("checkpointLocation", str(tmp_path)).start()
+    while spark.table("circle").count() < 14:
+        q.processAllAvailable() if q.exception() else q.awaitTermination(1)
+    q.stop()
+    got = [tuple(r) for r in spark.table("circle").orderBy("ts").limit(14).collect()]
+    assert got == [(0, t, 5 + t % 3, "abc"[t % 3]) for t in range(14)]
+
+
+def test_cooperation_goes_on_after_a_restart(spark, tmp_path):
+    batches = [spark.createDataFrame([(i % 2, t, 0 if t % 2 else t % 9, "a") for i, t in enumerate(range(lo, lo + 200))], "agent_id int, ts long, key int, str string") for lo in (0, 200)]
+    one, two = (jobs.Cooperation(str(tmp_path / name), 4, 100, 50, 2) for name in "ab")
+    one(batches[0], 0)
+    two(batches[0], 0)
+    one(batches[1], 1)
+    again = jobs.Cooperation(str(tmp_path / "b"), 4, 100, 50, 2)
+    again(batches[1], 1)
+    again(batches[1], 1)
+    rows = [sorted(map(tuple, spark.read.parquet(str(tmp_path / name / "routed" / "batch=1")).collect())) for name in "ab"]
+    assert rows[0] == rows[1] and len(rows[0]) == 200 and 0 in one.table and one.table == again.table
+
+
+@pytest.mark.parametrize("adaptive", [False, True])
+def test_sarsa_learns_and_a_bound_of_two_never_overshoots(adaptive):
+    s = sarsa.np.array([1.0, 0.0, -1.0, 0.5])
+    for kappa in (sarsa.KAPPA, 2.0):
+        agent = sarsa.Sarsa(4, 2, adaptive=adaptive, watch=True)
+        agent.bound.kappa = kappa
+        errors = [abs(agent.update(s, 0, 1.0, s, 0, True)) for _ in range(300)]
+        assert errors[-1] < errors[0] / 4
+        if kappa == 2.0:
+            assert agent.overshoots == 0
+
+
+def test_sparse_start():
+    rng = sarsa.np.random.default_rng(1)
+    for shape, normal in (((3, 10), True), ((3, 2, 5, 1), False)):
+        w = sarsa.sparse_start(rng, shape, 0.6, normal)
+        assert w.shape == shape and [(row == 0).sum() for row in w.reshape(3, -1)] == [6] * 3
+    with pytest.raises(ValueError):
+        sarsa.sparse_start(rng, (3,))
