@@ -205,7 +205,7 @@ def _discount(n1: float, n2: float) -> float:
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod: int = 10, held: int = 0, least_share: float = LEAST_SHARE, burn_in: int = BURN_IN, samples: int = SAMPLES, seed: int = 7) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score). Rows with crc32(id as text) mod `mod` = `held` are not learned from."""
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity by token). Rows with crc32(id as text) mod `mod` = `held` are not learned from."""
     blocks = in_blocks(docs, id_col, text_col)
     _, size = sizes(blocks)
     parts = max(8, size // (16 << 20))
@@ -289,7 +289,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         yield rows(_SCORES, ids.to_pylist(), [None if x is None else not x for x in trained(ids, mod, held)], n, np.add.reduceat((c > 0).astype(np.int64), edge), np.add.reduceat(np.log10((c + 0.1) / divisor), edge), np.add.reduceat(p[pair], edge))
 
     scored = with_answers(blocks, answers, max(8, size // (10 << 20)), finish, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
 
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -220,7 +220,7 @@ def test_lm(docs, none):
     n, v = sum(c.values()), len(c)
     want = sorted((d, len(ws), sum(c[w] > 0 for w in ws), n, round(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws), 6)) for d, ws in toks)
     assert sorted((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in out) == want
-    assert all(r["score"] < 0 for r in out)
+    assert all(r["score"] < 0 and math.isclose(r["perplexity"], 10 ** (-r["score"] / r["n_tokens"])) for r in out)
     assert lm.score_texts(none).count() == 0
 
 
