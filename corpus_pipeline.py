@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ballast.llm import bpe, decontaminate, repeats, simhash, toxicity
+from ballast.llm import bpe, decontaminate, nearsets, repeats, toxicity
 from ballast.shared import stored
 
 
@@ -19,8 +19,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of smallest id stays (rows of that id all stay, as do those without an id)."""
-    groups = simhash.near_duplicates(docs.select("doc_id", "text"))
+    """Of each group of near copies (Jaccard similarity of five-word shingles >= 0.8) the document of smallest id stays (rows of that id all stay, as do those without an id)."""
+    groups = nearsets.near_copies(docs.select("doc_id", "text"))
     first = groups.where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(first, "doc_id", "left_semi").select(*docs.columns)
     return kept.unionByName(docs.where("doc_id is null"))

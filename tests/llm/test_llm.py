@@ -17,7 +17,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from oracle import SF, duck, rows  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
-from ballast.llm import bpe, decontaminate, graph, imatch, language, licenses, lm, registry, repeats, simhash, toxicity, urls  # noqa: E402
+from ballast.llm import bpe, decontaminate, graph, imatch, language, licenses, lm, nearsets, registry, repeats, simhash, toxicity, urls  # noqa: E402
 
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
 PASSAGE = " ".join(f"shared{i}" for i in range(30))
@@ -117,6 +117,38 @@ def test_simhash(docs, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def brute_near_copies(texts):
+    sets = [set(nearsets.shingle_set(t.encode() if t else None, 5).tolist()) for _, t in texts]
+    group = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a == sets[j] or len(a & sets[j]) >= 0.8 * len(a | sets[j]):
+                group = [group[j] if g == group[i] else g for g in group]
+    return [min((d for (d, _), h in zip(texts, group, strict=True) if h == g and d is not None), default=None) for g in group]
+
+
+@pytest.mark.parametrize("group", [3, 512])
+def test_near_copies_beyond_three_bits(spark, group):
+    rng = np.random.default_rng(3)
+    texts = []
+    for _ in range(12):
+        words = [f"w{x}" for x in rng.integers(0, 5000, int(rng.integers(40, 400)))]
+        for _ in range(6):  # a chain: each copy is like the one before
+            texts.append((len(texts) if rng.random() < 0.9 else None, " ".join(words)))
+            words = list(words)
+            for k in rng.choice(len(words), max(1, len(words) // int(rng.integers(30, 120))), replace=False):
+                words[k] = f"x{rng.integers(0, 10**6)}"
+    texts += [(2, texts[0][1]), (200, None), (201, ""), (202, "one"), (203, "ONE")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = Counter((r["doc_id"], r["component_id"]) for r in nearsets.near_copies(docs, group=group).collect())
+    want = Counter((d, c) for (d, _), c in zip(texts, brute_near_copies(texts), strict=True))
+    assert got == want
+    kept = {r["doc_id"] for r in corpus_pipeline.simhash_stage(spark, docs, "").collect()}
+    assert kept == {d for d, c in want if d == c} | {None}
+    by_bits = {r["component_id"] for r in simhash.near_duplicates(docs).collect()}
+    assert len(kept - {None}) < len(by_bits - {None})  # copies that three bits don't link
+
+
 @pytest.mark.parametrize("group", [2, 5, 2048])
 def test_hot_simhash_groups_lose_no_component(spark, group):
     rng = np.random.default_rng(1)
