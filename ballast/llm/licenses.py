@@ -1,8 +1,10 @@
 """License scans with a positional rare-token index, in DataFrame functions only.
 
 Templates are word sequences. The document frequency of every template word is counted over all documents; a template is
-posted under its word of highest inverse document frequency (ties: the earlier). Of each file only the words that have
-postings are looked up; a word at position p and a posting at offset o propose the template at p - o. The words around
+posted under its word of highest inverse document frequency (ties: the earlier) and, as that one may be altered in a copy,
+under the rarest word of its mandatory key phrase, without which it can't count. Of each file only the words that have
+postings are looked up; a word at position p and a posting at offset o propose the template at p - o. A place that only a
+key phrase's word proposes is reported if it counts. The words around
 are compared there by relative position: `coverage` is the share of the template's words that stand in their places. A
 template counts at coverage 1 if it is a phrase, else from 0.8 if its mandatory key phrase is complete at that place.
 Nothing is exchanged but the frequencies: a file's row never leaves its partition.
@@ -68,15 +70,20 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(doc_id, n_words, found): found has template number, first word and coverage of each template that counts, by place, and of the best other."""
     terms = [t[1].split() for t in templates]
     df = rarest(docs, text_col, sorted({w for t in terms for w in t}))
-    postings: dict[str, list[tuple[int, int]]] = {}
-    for i, t in enumerate(terms):
-        o = min(range(len(t)), key=lambda k: (df[t[k]], k))
-        postings.setdefault(t[o], []).append((i, o))
-    lookup = F.create_map(*[x for w, own in postings.items() for x in (F.lit(w), F.array(*[F.struct(F.lit(i).alias("t"), F.lit(o).alias("o")) for i, o in own]))])
+    keys = []
+    for (_, text, key, _), t in zip(templates, terms, strict=True):
+        at = text.split(key)[0].count(" ") if key else 0
+        keys.append((at, len(key.split()) if key else len(t)))
+    postings: dict[str, list[tuple[int, int, bool]]] = {}
+    for i, (t, (at, n)) in enumerate(zip(terms, keys, strict=True)):
+        anchor, in_key = (min(within, key=lambda k: (df[t[k]], k)) for within in (range(len(t)), range(at, at + n)))
+        for o in {anchor, in_key}:
+            postings.setdefault(t[o], []).append((i, o, o == anchor))
+    lookup = F.create_map(*[x for w, own in postings.items() for x in (F.lit(w), F.array(*[F.struct(F.lit(i).alias("t"), F.lit(o).alias("o"), F.lit(a).alias("anchor")) for i, o, a in own]))])
     all_terms = F.array(*[_strings(t) for t in terms])
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), words(F.col(text_col)).alias("w"))
     rare = F.filter(F.transform("w", lambda w, i: F.struct(i.alias("i"), _ascii_lower(w).alias("w"))), lambda x: x["w"].isin(list(postings)))
-    proposed = F.flatten(F.transform("rare", lambda x: F.transform(F.element_at(lookup, x["w"]), lambda p: F.struct(p["t"].alias("t"), (x["i"] - p["o"]).alias("at")))))
+    proposed = F.flatten(F.transform("rare", lambda x: F.transform(F.element_at(lookup, x["w"]), lambda p: F.struct(p["t"].alias("t"), (x["i"] - p["o"]).alias("at"), p["anchor"].alias("anchor")))))
 
     def stands(at: Column, k: Column, term: Column) -> Column:
         return F.coalesce(_ascii_lower(F.get("w", at + k)) == term, F.lit(False))
@@ -85,17 +92,19 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         own = F.get(all_terms, x["t"])
         return F.size(F.filter(F.transform(own, lambda term, k: stands(x["at"], k, term)), lambda hit: hit)) / F.size(own)
 
-    keys = []
-    for (_, text, key, _), t in zip(templates, terms, strict=True):
-        at = text.split(key)[0].count(" ") if key else 0
-        keys.append((at, len(key.split()) if key else len(t)))
     starts, sizes = (F.array(*[F.lit(k[i]) for k in keys]) for i in (0, 1))
 
     def key_stands(x: Column) -> Column:
         part = F.slice(F.get(all_terms, x["t"]), F.get(starts, x["t"]) + 1, F.get(sizes, x["t"]))
         return F.forall(F.transform(part, lambda term, k: stands(x["at"] + F.get(starts, x["t"]), k, term)), lambda hit: hit)
 
-    checked = F.transform("proposed", lambda x: F.struct(x["t"].alias("t"), x["at"].cast("long").alias("at"), coverage(x).alias("coverage"), key_stands(x).alias("key")))
+    # the anchor proposes a place itself if it stands there
+    anchors = F.array(*[F.lit(next(w for w, own in postings.items() for j, _, a in own if a and j == i)) for i in range(len(terms))])
+    offsets = F.array(*[F.lit(next(o for own in postings.values() for j, o, a in own if a and j == i)) for i in range(len(terms))])
+    news = F.filter("proposed", lambda x: x["anchor"] | ~stands(x["at"], F.get(offsets, x["t"]), F.get(anchors, x["t"])))
+    checked = F.transform(news, lambda x: F.struct(x["t"].alias("t"), x["at"].cast("long").alias("at"), coverage(x).alias("coverage"), key_stands(x).alias("key"), x["anchor"].alias("anchor")))
+    checked = F.filter(checked, lambda x: x["anchor"] | (x["key"] & (x["coverage"] >= LEAST_COVERAGE)))
+    checked = F.transform(checked, lambda x: x.dropFields("anchor"))
     return base.select("doc_id", F.size("w").cast("long").alias("n_words"), "w", rare.alias("rare")).select("doc_id", "n_words", "w", proposed.alias("proposed")).select("doc_id", "n_words", checked.alias("found"))
 
 

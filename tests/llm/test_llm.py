@@ -179,6 +179,19 @@ def test_licenses(docs, none):
     assert licenses.scan_licenses(none).count() == 0
 
 
+def test_licenses_with_an_altered_anchor(spark):
+    # each word outside the key phrase altered in turn, one of them the anchor
+    rows_of = []
+    for t, (label, text, key, _) in enumerate(licenses.TEMPLATES):
+        words, at = text.split(), text.split(key)[0].count(" ") if key else 0
+        for k in range(len(words) if key else 0):
+            if not at <= k < at + len(key.split()):
+                rows_of.append((len(rows_of), t, " ".join(["x", *words[:k], "altered", *words[k + 1 :]]), (len(words) - 1) / len(words)))
+    found = licenses.scan_licenses(spark.createDataFrame(rows_of, "doc_id long, t int, text string, c double")).collect()
+    got = {r["doc_id"]: [(x["at"], x["coverage"]) for x in r["found"] if x["t"] == rows_of[r["doc_id"]][1] and x["key"]] for r in found}
+    assert got == {d: [(1, c)] for d, _, _, c in rows_of}
+
+
 def test_imatch(spark, docs, none):
     items = sorted(((d, t or "") for d, t, *_ in DOCS), key=lambda x: (-x[0], x[1]))
     for limit in (12 << 20, 1000):
