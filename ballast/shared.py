@@ -14,9 +14,14 @@ _SHIPPED: set[str] = set()
 _ROOTS: dict[str, str] = {}
 
 
+#: Bytes of an Arrow batch that goes to a Python worker: a worker holds a few of them, however long single texts are on average.
+BATCH_BYTES = 2 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so that Python workers can import it."""
+    """Send this package to the executors once per application, so that Python workers can import it, and bound Arrow batches by bytes."""
     app = spark.sparkContext.applicationId
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if app in _SHIPPED:
         return
     top = os.path.dirname(os.path.abspath(__file__))
@@ -37,12 +42,14 @@ def _hadoop_path(spark: SparkSession, path: str):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder under spark.checkpoint.dir. Only where that is unset (tests, local mode) a temporary folder is used."""
+    """A fresh folder under spark.checkpoint.dir. Only in local mode a temporary folder is used where that is unset; elsewhere that raises, as executors don't share such a folder."""
     sc = spark.sparkContext
     root = _ROOTS.get(sc.applicationId)
     if root is None:
         root = spark.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().getOrElse(None)
         if not root:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             root = "file://" + tempfile.mkdtemp(prefix="ballast-checkpoint-")
             sc.setCheckpointDir(root)
         elif sc._jsc.sc().getCheckpointDir().isEmpty():
@@ -66,4 +73,12 @@ def stored(df: DataFrame, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what `stored` has written for this very DataFrame, once its successor is written."""
+    fs, path = _hadoop_path(df.sparkSession, df.stored_at)
+    fs.delete(path, True)
