@@ -5,8 +5,10 @@ stand for letters to those letters; l, 1, ! and | become i, as each stands for e
 
 Lexicon: from at most `sample` labelled rows (a documented bound; chosen by hash of the id, and one row only of those
 whose least shingle hash is equal, so that copies don't count as evidence). Candidates are whole words and beginnings of
-words of 3 to 8 letters; the weight is the log odds ratio between toxic and other rows. A candidate needs `least` toxic
-rows or `least_share` of them, and a weight of `least_weight`; of terms that extend each other with equal counts the longest is kept.
+words, of 3 letters or more and of any length; the weight is the log odds ratio between toxic and other rows. A candidate
+needs `least` toxic rows or `least_share` of them, and a weight of `least_weight`, and every one that has them is taken, so the
+sample bounds the lexicon; of terms that extend each other with equal counts the longest is kept. Candidates are counted by
+64-bit hashes, a word's beginnings by one running sum, and only those taken are read off the toxic rows as strings.
 
 Score: each word takes its heaviest match, unless an exception phrase covers it; a logistic function, fitted on the same
 sample, of the logarithm of their sum and of their sum for each hundred words.
@@ -19,7 +21,6 @@ an empty table gives an empty result.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import ahocorasick
@@ -29,9 +30,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ballast.llm.vec import U64, mix, powers
 from ballast.shared import ship, stored
 
-SAMPLE, LEAST, LEAST_SHARE, LEAST_WEIGHT, MOST_TERMS = 50_000, 5, 0.002, 3.5, 20_000
+SAMPLE, LEAST, LEAST_SHARE, LEAST_WEIGHT, SHORTEST = 50_000, 5, 0.002, 3.5, 3
 #: Phrases in which a word of the lexicon does no harm.
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "circus clown", "sore loser", "pond scum", "worthless check")
 #: Characters and the letters that they stand for.
@@ -62,12 +64,24 @@ def folded(text: str | None) -> list[str]:
     return _SPLIT.findall(_ENDS.sub(" ", (text or "").lower()).translate(_FOLD))
 
 
-def _candidates(words: set[str]) -> set[str]:
-    out = {f" {w} " for w in words if 3 <= len(w) <= 24}
-    for w in words:
-        for k in range(3, min(8, len(w)) + 1):
-            out.add(" " + w[:k])
-    return out
+def candidates(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, line, first and last letter of each candidate and whether it is a whole word. Lines are words joined by single spaces; letters are counted over the lines, each with a space after it."""
+    points = np.frombuffer("".join(x + " " for x in lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+    owner = np.repeat(np.arange(len(lines)), [len(x) + 1 for x in lines])
+    letter = points != 32
+    begins = letter.copy()
+    begins[1:] &= ~letter[:-1]
+    start = np.maximum.accumulate(np.where(begins, np.arange(len(points)), 0)) if len(points) else np.zeros(0, np.int64)
+    last = np.flatnonzero(letter & (np.arange(len(points)) - start >= SHORTEST - 1))
+    power, inverse = powers(len(points) + 1)
+    total = np.zeros(len(points) + 1, U64)
+    np.cumsum(mix(points.astype(U64) + U64(1)) * power[: len(points)], out=total[1:])
+    first = start[last]
+    h = mix((total[last + 1] - total[first]) * inverse[first] + (last - first).astype(U64))
+    whole = ~letter[last + 1]
+    every = np.concatenate([h, mix(h[whole] + U64(1))])
+    at = np.concatenate([last, last[whole]])
+    return every, owner[at], start[at], at, np.arange(len(every)) >= len(h)
 
 
 class Lexicon:
@@ -129,13 +143,27 @@ def _texts(batches: Iterator[pa.RecordBatch], labels: dict[int, int]) -> Iterato
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    toxic, other, n = Counter(), Counter(), [0, 0]
+    """Rows of a batch that have each candidate; Spark adds the batches up before it exchanges them."""
     for batch in batches:
-        for label, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            n[label] += 1
-            (toxic if label else other).update(_candidates(set(words.split())))
-    terms = list(toxic.keys() | other.keys())
-    yield pa.RecordBatch.from_arrays([pa.array(["", *terms]), pa.array([n[1], *(toxic[t] for t in terms)], pa.int64()), pa.array([n[0], *(other[t] for t in terms)], pa.int64())], names=["term", "toxic", "other"])
+        h, owner, _, _, _ = candidates(batch.column(1).to_pylist())
+        once = np.unique(mix(h + owner.astype(U64) * U64(0x9E3779B97F4A7C15)), return_index=True)[1]
+        terms, at = np.unique(h[once], return_inverse=True)
+        toxic = batch.column(0).to_numpy()[owner[once]]
+        n, bad = np.bincount(at, minlength=len(terms)), np.bincount(at, toxic, minlength=len(terms)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(bad), pa.array(n - bad)], names=["term", "toxic", "other"])
+
+
+def _spelled(batches: Iterator[pa.RecordBatch], wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(term, word) of the wanted hashes (sorted); a whole word ends with a space."""
+    for batch in batches:
+        lines = batch.column(0).to_pylist()
+        h, _, first, last, whole = candidates(lines)
+        at = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
+        hit = np.flatnonzero(wanted[at] == h)
+        hit = hit[np.unique(h[hit], return_index=True)[1]]
+        text = "".join(x + " " for x in lines)
+        words = [" " + text[a : b + 1] + " " * w for a, b, w in zip(first[hit].tolist(), last[hit].tolist(), whole[hit].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(h[hit].view(np.int64)), pa.array(words, pa.string())], names=["term", "word"])
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample: int = SAMPLE, exceptions: tuple[str, ...] = EXCEPTIONS) -> tuple[dict[str, float], np.ndarray]:
@@ -146,14 +174,18 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample
     rows = stored(texts.mapInArrow(lambda b: _texts(b, known.value), "doc_id long, toxic int, key long, words string"))
     one = rows.groupBy("key", "toxic").agg(F.min("doc_id").alias("doc_id"))
     kept = rows.join(one, ["key", "toxic", "doc_id"], "left_semi")
-    counts = kept.select("toxic", "words").mapInArrow(_counts, "term string, toxic long, other long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    n1, n0 = counts.where("term = ''").select("toxic", "other").first() or (0, 0)
+    sizes = {r["toxic"]: r["count"] for r in kept.groupBy("toxic").count().collect()}
+    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
         return {}, np.array([-50.0, 0.0, 0.0])
+    counts = kept.select("toxic", "words").mapInArrow(_counts, "term long, toxic long, other long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     weight = F.log((F.col("toxic") + 0.5) / (n1 + 1)) - F.log((F.col("other") + 0.5) / (n0 + 1))
-    found = counts.where(f"term <> '' and toxic >= {max(LEAST, LEAST_SHARE * n1)}").withColumn("weight", weight).where(f"weight >= {LEAST_WEIGHT}").orderBy(F.desc("weight"), "term").limit(MOST_TERMS).collect()
-    longer = {(r["term"].rstrip()[:k], r["toxic"], r["other"]) for r in found for k in range(4, len(r["term"]))}
-    weights = {r["term"]: float(r["weight"]) for r in found if r["term"].endswith(" ") or (r["term"], r["toxic"], r["other"]) not in longer}
+    taken = {r["term"]: (r["weight"], r["toxic"], r["other"]) for r in counts.where(f"toxic >= {max(LEAST, LEAST_SHARE * n1)}").withColumn("weight", weight).where(f"weight >= {LEAST_WEIGHT}").collect()}
+    wanted = np.sort(np.fromiter(taken, np.int64, len(taken)).view(U64))
+    spelled = kept.where("toxic = 1").select("words").mapInArrow(lambda b: _spelled(b, wanted), "term long, word string").distinct().collect() if taken else []
+    found = {r["word"]: taken[r["term"]] for r in spelled}
+    longer = {(w[:-1], n, m) for w, (_, n, m) in found.items()}  # with equal counts, a term one letter (or the word's end) longer is there if any longer one is
+    weights = {w: float(x) for w, (x, n, m) in found.items() if (w, n, m) not in longer}
 
     def total(batches):
         lexicon = Lexicon(weights, exceptions)

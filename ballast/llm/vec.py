@@ -60,6 +60,11 @@ def _power(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return have
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of one odd number and of its inverse, for running sums over sequences that aren't words' bytes."""
+    return _power(_B2, n)
+
+
 @dataclass
 class Words:
     """Words of a run of texts: rows lo to hi of a batch."""
