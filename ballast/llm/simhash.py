@@ -1,11 +1,15 @@
 """SimHash near-dedup with deletion-variant signatures.
 
 A 64-bit fingerprint is cut into two segments of 32 bits, fewer than the allowed 3 differing bits plus one: of two
-fingerprints that link, one segment differs by one bit at most. Each distinct fingerprint is indexed under every
-one-wildcard variant of both segments (64 keys), equal keys meet, and each meeting is verified on all 64 bits.
+fingerprints that link, one segment differs by one bit at most. Each distinct fingerprint is indexed under both segments as
+they are and under every one-wildcard variant of both (66 keys), equal keys meet, and each meeting is verified on all 64
+bits. Fingerprints whose segment is equal meet under the segment itself; a wildcard's key is passed over unless it has
+fingerprints of either bit. A group gives links that join all it connects, not all its pairs.
 
-A key that more than `group` distinct fingerprints share isn't gathered: its fingerprints are dealt to blocks of that size
-and every pair of blocks is its own group. A group gives links that join all it connects, not all its pairs.
+A key that more than `group` distinct fingerprints share isn't gathered. Those that link agree in that key's segment but for
+one bit, so in the other segment one of four bytes is equal: the key's fingerprints are indexed once more under each of
+these bytes. What is still over `group` is dealt to blocks of about that size and every pair of blocks is verified by itself,
+whatever sizes the deal gives, so no link is lost.
 
 Defined results: a null or empty text has fingerprint zero and is linked like any other; equal texts have equal
 fingerprints; a text of fewer words than a shingle has one shingle, the whole; rows of one id are all kept, the component
@@ -70,58 +74,75 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 _KEYS = pa.schema([("key", pa.int64()), ("fp", pa.int64())])
 
 
+#: A key's place of the wildcard where the segment is taken as it is.
+PLAIN = 32
+
+
 def variants(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The keys of each fingerprint: segment, place of the wildcard, and the segment with that bit cleared."""
     keys = []
     for seg in range(2):
         part = (fp >> np.uint64(32 * seg)) & np.uint64(0xFFFFFFFF)
-        for bit in range(32):
-            keys.append((part & ~(np.uint64(1) << np.uint64(bit))) | np.uint64((seg << 5 | bit) << 32))
-    return np.concatenate(keys).view(np.int64), np.tile(fp, 64).view(np.int64)
+        for bit in range(33):
+            keys.append((part & ~(np.uint64(1) << np.uint64(bit))) | np.uint64((seg << 6 | bit) << 32))
+    return np.concatenate(keys).view(np.int64), np.tile(fp, 66).view(np.int64)
 
 
-def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys, fps = variants(batch.column(0).to_numpy().view(np.uint64))
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fps)], schema=_KEYS)
+def bit_of(keys: np.ndarray, fps: np.ndarray) -> np.ndarray:
+    """What stands at the key's wildcard; 0 where there is none."""
+    k, u = keys.view(np.uint64) >> np.uint64(32), fps.view(np.uint64)
+    bit, seg = k & np.uint64(63), k >> np.uint64(6)
+    return np.where(bit < PLAIN, (u >> (bit % np.uint64(32) + np.uint64(32) * seg)) & np.uint64(1), np.uint64(0)).astype(np.int8)
 
 
-def linked(fp: np.ndarray, bits: int, mine: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links that connect what the pairs within `bits` of each other connect: for each part a star to its least fingerprint."""
-    n = len(fp)
-    label = np.arange(n)
-    near = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= bits
-    while True:
-        low = np.where(near, label[None, :], n).min(axis=1)
-        low = np.minimum(low, low[low])
-        if (low == label).all():
-            break
-        label = low
-    at = np.flatnonzero(label != np.arange(n))
-    yield fp[at], fp[label[at]]
+def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 4096):
+            keys, fps = variants(batch.column(0).slice(lo, 4096).to_numpy().view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fps)], schema=_KEYS)
+
+
+def linked(fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what the pairs within `bits` of each other connect: for each part a star to its least fingerprint. fp is sorted."""
+    left, ends, roots = fp, [], []
+    while len(left):
+        root, left = left[0], left[1:]
+        queue = [root]
+        while queue and len(left):
+            hit = np.bitwise_count(left ^ queue.pop()) <= bits
+            if hit.any():
+                found = left[hit]
+                left = left[~hit]
+                queue.extend(found)
+                ends.append(found)
+                roots.append(np.full(len(found), root))
+    return (np.concatenate(ends), np.concatenate(roots)) if ends else (fp[:0], fp[:0])
 
 
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("hot", pa.int64())])
 
 
-def _links(batches: Iterator[pa.RecordBatch], bits: int, group: int) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by key. Links (a, b, null); of a key with over `group` fingerprints the members (key, fp, 1)."""
-    held_key, held = None, np.zeros(0, np.int64)
-    hot = False
+def _links(batches: Iterator[pa.RecordBatch], bits: int, group: int | None, wild: bool = True) -> Iterator[pa.RecordBatch]:
+    """Rows (key, fp) come sorted. Links (a, b, null); of a key with over `group` fingerprints (None: of none) the members (key, fp, 1). wild: keys are those of `variants`."""
 
     def links(keys: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
         u, out_a, out_b = fps.view(np.uint64), [], []
-        same = keys[1:] == keys[:-1]
-        cut = np.flatnonzero(np.append(True, ~same))
+        cut = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
         size = np.diff(np.append(cut, len(keys)))
-        two = cut[size == 2]
+        if wild:
+            ones = np.add.reduceat(bit_of(keys, fps).astype(np.int64), cut)
+            plain = (keys[cut] >> 32) & 63 == PLAIN
+            some = (size > 1) & (plain | (ones > 0) & (ones < size))
+        else:
+            some = size > 1
+        two = cut[some & (size == 2)]
         two = two[np.bitwise_count(u[two] ^ u[two + 1]) <= bits]
         out_a.append(fps[two])
         out_b.append(fps[two + 1])
-        for a, n in zip(cut[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-            for x, y in linked(u[a : a + n], bits):
-                out_a.append(x.view(np.int64))
-                out_b.append(y.view(np.int64))
+        for a, n in zip(cut[some & (size > 2)].tolist(), size[some & (size > 2)].tolist(), strict=True):
+            x, y = linked(u[a : a + n], bits)
+            out_a.append(x.view(np.int64))
+            out_b.append(y.view(np.int64))
         x, y = np.concatenate(out_a), np.concatenate(out_b)
         if len(x):
             pair = np.unique(np.stack([x, y], axis=1), axis=0)
@@ -130,38 +151,42 @@ def _links(batches: Iterator[pa.RecordBatch], bits: int, group: int) -> Iterator
     def members(key: int, fps: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(fps), key)), pa.array(fps), pa.array(np.ones(len(fps), np.int64))], schema=_LINKS)
 
+    none = np.zeros(0, np.int64)
+    held_keys, held_fps, hot = none, none, None  # rows of the last key, and that key if its rows are passed on
     for batch in batches:
         keys, fps = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if not len(keys):
-            continue
-        if held_key is not None:
-            own = int(np.searchsorted(keys, held_key, side="right")) if keys[0] == held_key else 0
-            if hot:
-                if own:
-                    yield members(held_key, fps[:own])
-                keys, fps = keys[own:], fps[own:]
-            else:
-                keys, fps = np.concatenate([np.full(len(held), held_key), keys]), np.concatenate([held, fps])
-            if len(keys):
-                held_key, held, hot = None, held[:0], False
+        if hot is not None:
+            own = int(np.searchsorted(keys, hot, side="right")) if len(keys) and keys[0] == hot else 0
+            if own:
+                yield members(hot, fps[:own])
+            keys, fps = keys[own:], fps[own:]
+        keys, fps = np.concatenate([held_keys, keys]), np.concatenate([held_fps, fps])
         if not len(keys):
             continue
         last = int(np.searchsorted(keys, keys[-1], side="left"))
-        held_key, held = int(keys[-1]), fps[last:]
-        cut = np.flatnonzero(np.append(True, keys[1:last] != keys[: last - 1])) if last else np.zeros(0, np.int64)
-        size = np.diff(np.append(cut, last))
-        for a, n in zip(cut[size > group].tolist(), size[size > group].tolist(), strict=True):
-            yield members(int(keys[a]), fps[a : a + n])
-        small = np.repeat(size <= group, size)
-        yield from links(keys[:last][small], fps[:last][small])
-        if len(held) > group:
-            yield members(held_key, held)
-            held, hot = held[:0], True
-    if held_key is not None and not hot:
-        if len(held) > group:
-            yield members(held_key, held)
-        elif len(held):
-            yield from links(np.full(len(held), held_key), held)
+        done_keys, done_fps, held_keys, held_fps, hot = keys[:last], fps[:last], keys[last:], fps[last:], None
+        if group is not None and last:
+            cut = np.flatnonzero(np.append(True, done_keys[1:] != done_keys[:-1]))
+            size = np.diff(np.append(cut, last))
+            for a, n in zip(cut[size > group].tolist(), size[size > group].tolist(), strict=True):
+                yield members(int(done_keys[a]), done_fps[a : a + n])
+            small = np.repeat(size <= group, size)
+            done_keys, done_fps = done_keys[small], done_fps[small]
+        if len(done_keys):
+            yield from links(done_keys, done_fps)
+        if group is not None and len(held_keys) > group:
+            hot = int(held_keys[0])
+            yield members(hot, held_fps)
+            held_keys, held_fps = none, none
+    if len(held_keys):
+        yield from links(held_keys, held_fps)
+
+
+def _hot_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys, fps = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        plain = (keys >> 32) & 63 == PLAIN
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fps), pa.array(np.where(plain, 2, bit_of(keys, fps)).astype(np.int32))], names=["key", "fp", "bit"])
 
 
 def near_links(prints: DataFrame, bits: int = BITS, group: int = GROUP) -> DataFrame:
@@ -177,12 +202,19 @@ def near_links(prints: DataFrame, bits: int = BITS, group: int = GROUP) -> DataF
     hot = found.where("hot is not null").select(F.col("a").alias("key"), F.col("b").alias("fp"))
     if hot.isEmpty():
         return links
-    counts = hot.groupBy("key").agg(F.ceil(F.count("*") / F.lit(group)).cast("int").alias("n"))
-    dealt = hot.join(counts, "key").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int"))
-    pairs = dealt.select(F.col("key"), "fp", "own", F.explode(F.expr("sequence(0, n - 1)")).alias("other")).select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "fp")
-    # blocks of hashed members can be somewhat larger than `group`; a pair of blocks has two of them
-    more = pairs.repartition(n, "key").sortWithinPartitions("key", "fp").mapInArrow(lambda b: _links(b, bits, 8 * group), "a long, b long, hot long")
-    return links.unionByName(more.where("hot is null").select("a", "b")).distinct()
+    # a wildcard's key needs fingerprints of either bit
+    hot = hot.mapInArrow(_hot_bits, "key long, fp long, bit int")
+    met = hot.groupBy("key").agg(F.min("bit").alias("low"), F.max("bit").alias("high")).where("low < high or low = 2").select("key")
+    hot = hot.join(met, "key", "left_semi")
+    # the bytes of the segment that isn't the key's, in which those that link differ by 3 bits at most
+    other = F.when(F.col("key").bitwiseAND(64 << 32) == 0, F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp"))
+    bytes_of = F.array(*[F.xxhash64("key", F.lit(i), F.shiftright(other, 8 * i).bitwiseAND(255)) for i in range(4)])
+    sub = stored(hot.select(F.explode(bytes_of).alias("key"), "fp"))
+    counts = sub.groupBy("key").agg(F.ceil(F.count("*") / F.lit(group)).cast("int").alias("n"))
+    dealt = sub.join(counts, "key").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int"))
+    pairs = dealt.select("key", "fp", "own", F.explode(F.expr("sequence(0, n - 1)")).alias("other")).select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "fp").distinct()
+    more = pairs.repartition(n, "key").sortWithinPartitions("key", "fp").mapInArrow(lambda b: _links(b, bits, None, False), "a long, b long, hot long")
+    return links.unionByName(more.select("a", "b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
