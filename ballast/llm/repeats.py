@@ -6,18 +6,20 @@
 2. In each block, maximal runs of recurring windows become phrases. They are compiled into sharded Aho-Corasick automata
    over the block's word numbers; all documents of the block are streamed through each automaton, and every occurrence of
    a phrase marks the windows whose first document is a smaller one.
-3. Words under a marked window are cut out.
+3. Words under a marked window are cut out. With `layout` the kept text is the original one with its white space, each run of
+   cut words leaving with the white space after it; a text without cuts, a null one too, stays as it is.
 
 A window that a third of all documents share costs one entry a block, in both directions.
 
 Defined results: a null or empty text has no words and an empty kept text; a text of fewer than 13 words is kept; white
-space of kept text is single spaces; rows of one id count as one document and are each judged; rows of null id are kept whole
+space of kept text is single spaces (but with `layout`); rows of one id count as one document and are each judged; rows of null id are kept whole
 and aren't the first of anything; other columns are ignored.
 Windows are told apart by 64-bit hashes in step 1, by words in step 2.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import ahocorasick
@@ -155,7 +157,20 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed",
 REPEATS = "doc_id long, n_words long, n_removed long, kept string, spans array<struct<first:long,last:long>>"
 
 
-def _finish(table: pa.Table, payloads: list[bytes], n: int) -> Iterator[pa.RecordBatch]:
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def without(text: bytes, spans: list[dict[str, int]]) -> bytes:
+    """The text without the words of the spans and the white space after them."""
+    words = [m.span() for m in _WORD.finditer(text)]
+    out, at = [], 0
+    for x in spans:
+        out.append(text[at : words[x["first"]][0]])
+        at = words[x["last"] + 1][0] if x["last"] + 1 < len(words) else words[x["last"]][1]
+    return b"".join([*out, text[at:]])
+
+
+def _finish(table: pa.Table, payloads: list[bytes], n: int, layout: bool = False) -> Iterator[pa.RecordBatch]:
     found = [unpack_sorted(p) for p in payloads]
     keys, firsts = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, U64), np.zeros(0, np.int64))
     order = np.argsort(keys, kind="stable")
@@ -183,16 +198,16 @@ def _finish(table: pa.Table, payloads: list[bytes], n: int) -> Iterator[pa.Recor
         return batch
 
     for (k, ids, _, doc), text in zip(texts, table.column("text"), strict=True):
-        words = text.as_buffer().to_pybytes().split() if text.is_valid else []
-        spans = []
+        data = text.as_buffer().to_pybytes() if text.is_valid else None
+        words, spans = (data or b"").split(), []
         if (mark := cut.get(k)) is not None:
             edge = np.flatnonzero(np.diff(np.concatenate(([0], mark.view(np.int8), [0])))).tolist()
             spans = [{"first": a, "last": b - 1} for a, b in zip(edge[::2], edge[1::2], strict=True)]
             words = [x for x, m in zip(words, mark.tolist(), strict=True) if not m]
-        kept = b" ".join(words)
+        kept = b" ".join(words) if not layout else without(data, spans) if spans else data
         for column, x in zip(out, (doc if known[k] else None, len(ids), len(ids) - len(words), kept, spans), strict=True):
             column.append(x)
-        size += len(kept)
+        size += len(kept or b"")
         if size > 4 << 20:
             yield flush(k + 1)
             out, size, lo = ([], [], [], [], []), 0, k + 1
@@ -203,7 +218,7 @@ def _batch(out: tuple[list, ...]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, f.type) if f.name != "kept" else pa.array(x, pa.binary()).cast(pa.string()) for x, f in zip(out, _OUT, strict=True)], schema=_OUT)
 
 
-def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, keep: tuple[str, ...] = ()) -> DataFrame:
+def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, keep: tuple[str, ...] = (), layout: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept, spans, then keep0, keep1 and so on for the columns `keep`): each text without the words of windows that begin in a document of smaller id too."""
     blocks = in_blocks(docs, id_col, text_col, BLOCK_BYTES, keep)
     _, size = sizes(blocks)
@@ -216,7 +231,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     asked = blocks.select("block", "payload").mapInArrow(ask, ASK).repartition(parts, "part")
     answers = asked.mapInArrow(_answer, ANSWER)
-    return with_answers(blocks, answers, max(8, size // (10 << 20)), lambda _, table, held: _finish(table, held, window), REPEATS + "".join(f", keep{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)))
+    return with_answers(blocks, answers, max(8, size // (10 << 20)), lambda _, table, held: _finish(table, held, window, layout), REPEATS + "".join(f", keep{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)))
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
