@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ballast.llm import bpe, decontaminate, nearsets, repeats, toxicity
-from ballast.shared import stored
+from ballast.shared import discard, stored
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,16 +21,16 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (Jaccard similarity of five-word shingles >= 0.8) the document of smallest id stays (rows of that id all stay, as do those without an id)."""
     groups = nearsets.near_copies(docs.select("doc_id", "text"))
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").select(*docs.columns)
-    return kept.unionByName(docs.where("doc_id is null"))
+    gone = groups.where("doc_id is not null").groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("first")).where("not first").select("doc_id")
+    return nearsets.only(docs, stored(gone), "left_anti")
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages are cut out of the texts; every document stays, n_chars follows its text."""
+    """Repeated passages are cut out of the texts, which stay as they are elsewhere; every document stays, n_chars follows a text that is cut."""
     rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    cut = repeats.cut_repeats(docs, keep=tuple(rest))
-    made = {"doc_id": F.col("doc_id"), "text": F.col("kept").alias("text"), "n_chars": F.length("kept").cast("long").alias("n_chars")} | {c: F.col(f"keep{i}").alias(c) for i, c in enumerate(rest)}
+    cut = repeats.cut_repeats(docs, keep=("n_chars", *rest), layout=True)
+    n_chars = F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("keep0"))
+    made = {"doc_id": F.col("doc_id"), "text": F.col("kept").alias("text"), "n_chars": n_chars.alias("n_chars")} | {c: F.col(f"keep{i}").alias(c) for i, c in enumerate(rest, 1)}
     return cut.select(*[made[c] for c in docs.columns])
 
 
@@ -52,7 +52,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir))
+        if last is not None:
+            discard(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)
