@@ -1,32 +1,38 @@
 """Benchmark decontamination by winnowing.
 
 Fingerprints are the minimal k-gram hashes of each sliding window of w = span + 1 - k k-grams, on both sides, so every
-span of `span` shared words has a shared fingerprint. Fingerprints of documents are joined with those of the test items
-(a hash lookup in blocks of test items of bounded size), hits are extended to all windows of `span` words around them,
-and each window is compared word by word. Items of fewer than `span` words are one window of their own length, looked up
-at full length.
+span of `span` shared words has a shared fingerprint. Items of fewer than `span` words are one window of their own length and
+are their own fingerprint. Three moves, alike for any size of the benchmark:
+
+1. The test items' fingerprints fill a bit table of fixed size, which is broadcast; a large benchmark fills more of it and no more.
+2. Documents are scanned once. Fingerprints whose bit is set are extended to all windows around them, and these windows,
+   as words, are the rows that leave a document. Each document row takes a number of its own, written with them.
+3. Windows are joined with the items' windows by their words, an equi-join of which Spark splits a window that very many
+   documents share, and what is found is gathered by row number.
 
 Defined results: a null or empty text has no words, so it is never hit; an item without words is ignored; items of equal
-text or equal id all count (ids once; null counts as one id and is named in no digest); repeated document rows give repeated result rows; empty tables give an empty result
-or no hits; other columns are ignored.
+text or equal id all count (ids once; null counts as one id and is named in no digest); document rows are judged one by one, whatever ids they repeat;
+empty tables give an empty result or no hits; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ballast.llm.vec import ALNUM, LOWER, U64, Lookup, Words, grams, whole, words_of
-from ballast.shared import ship
+from ballast.llm.vec import ALNUM, LOWER, U64, Words, grams, mix, whole, words_of
+from ballast.shared import ship, stored
 
 SPAN, K = 10, 5
-#: Bytes of benchmark text that are looked up in one pass over the documents.
-BLOCK_BYTES = 8 << 20
+#: Bytes of the table of fingerprints, a power of two.
+TABLE = 4 << 20
+#: Rows to drop that are broadcast at most; more are joined.
+BROADCAST_ROWS = 500_000
 
 
 def winnowed(g: np.ndarray, ok: np.ndarray, w: int) -> np.ndarray:
@@ -43,161 +49,142 @@ def winnowed(g: np.ndarray, ok: np.ndarray, w: int) -> np.ndarray:
     return np.flatnonzero(keep & ok)
 
 
-class Index:
-    """The windows of some test items."""
+def _bit(h: np.ndarray, n: int, size: int) -> np.ndarray:
+    """The bit of each fingerprint in a table of `size` bytes, a power of two."""
+    return (mix(h + U64(n)) & U64(8 * size - 1)).astype(np.int64)
 
-    def __init__(self, items: list[tuple[object, str | None]], span: int = SPAN, k: int = K):
-        self.span, self.k = span, k
-        self.windows: dict[int, dict[int, list[tuple[tuple[bytes, ...], set[str | None]]]]] = {}
-        prints: list[np.ndarray] = [np.zeros(0, U64)]
-        column = pa.array([t for _, t in items], type=pa.string())
-        for w in words_of(column, ALNUM, LOWER):
-            h = w.hashes()
-            g, ok = grams(h, k), whole(w, k)
-            prints.append(g[winnowed(g, ok, span + 1 - k)])
-            for i in range(w.hi - w.lo):
-                a, b = int(w.first[i]), int(w.first[i + 1])
-                if a == b:
-                    continue
-                n = min(span, b - a)
-                item = items[w.lo + i][0]
-                item = None if item is None else str(item)
-                table = self.windows.setdefault(n, {})
-                own = [w.word(j) for j in range(a, b)]
-                for j, x in enumerate(grams(h[a:b], n).tolist()):
-                    key, same = tuple(own[j : j + n]), table.setdefault(x, [])
-                    for known, ids in same:
-                        if known == key:
-                            ids.add(item)
-                            break
-                    else:
-                        same.append((key, {item}))
-        self.prints = Lookup(np.concatenate(prints))
-        self.tables = {n: Lookup(np.fromiter(t, U64, len(t))) for n, t in self.windows.items()}
-
-    def hits(self, w: Words) -> Iterator[tuple[int, int, set[str | None]]]:
-        """(first word, length, items) of each occurrence of a window."""
+
+class Prints:
+    """The bits of the test items' fingerprints, and the lengths of their windows."""
+
+    def __init__(self, bits: np.ndarray, lengths: list[int], span: int = SPAN, k: int = K):
+        self.bits, self.lengths, self.span, self.k = bits, lengths, span, k
+
+    def has(self, h: np.ndarray, n: int) -> np.ndarray:
+        at = _bit(h, n, len(self.bits))
+        return (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+
+    def windows(self, w: Words) -> Iterator[tuple[int, np.ndarray]]:
+        """(length, first words) of the windows around fingerprints whose bit is set, each within one text."""
         h = w.hashes()
-        for n, table in self.tables.items():
-            g = grams(h, n)
+        for n in self.lengths:
+            ok = whole(w, n)
             if n == self.span:
-                kg = grams(h, self.k)
-                at = winnowed(kg, whole(w, self.k), self.span + 1 - self.k) if len(kg) else np.zeros(0, np.int64)
-                at = at[self.prints(kg[at])] if len(at) else at
-                near = (at[:, None] - np.arange(self.span - self.k + 1)).ravel()  # extend to each window around a fingerprint
-                near = np.unique(near[(near >= 0) & (near < len(g))])
-                found = near[table(g[near])] if len(near) else near
+                g = grams(h, self.k)
+                at = winnowed(g, whole(w, self.k), self.span + 1 - self.k)
+                at = at[self.has(g[at], n)]
+                near = (at[:, None] - np.arange(self.span - self.k + 1)).ravel()
+                near = np.unique(near[(near >= 0) & (near < len(ok))])
             else:
-                found = table(g)
-            if not len(found):
-                continue
-            text = np.searchsorted(w.first, found, side="right") - 1
-            for i, t in zip(found.tolist(), text.tolist(), strict=True):
-                if i + n > w.first[t + 1]:
-                    continue
-                key = tuple(w.word(j) for j in range(i, i + n))
-                for known, ids in self.windows[n][int(g[i])]:
-                    if known == key:
-                        yield i, n, ids
+                near = np.flatnonzero(self.has(grams(h, n), n))
+            yield n, near[ok[near]]
+
 
+def _line(w: Words, i: int, n: int) -> bytes:
+    return b" ".join(w.word(j) for j in range(i, i + n))
 
-_OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("hits", pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), ("items", pa.list_(pa.string()))])
-HITS = "doc_id long, n_words long, hits array<struct<first:long,last:long>>, items array<string>"
 
+_ITEMS = pa.schema([("item", pa.string()), ("n", pa.int32()), ("window", pa.binary())])
+_BITS = pa.schema([("n", pa.int32()), ("bits", pa.binary())])
 
-def _scan(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.RecordBatch]:
+
+def _item_windows(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        counts, spans, items = [], [], []
         for w in words_of(batch.column(1), ALNUM, LOWER):
-            counts.append(w.counts)
-            found: dict[int, list[tuple[int, int, set[str | None]]]] = {}
-            for i, n, ids in index.hits(w):
-                found.setdefault(int(np.searchsorted(w.first, i, side="right")) - 1, []).append((i, n, ids))
-            for t in range(w.hi - w.lo):
-                own, names, a = [], set(), int(w.first[t])
-                for i, n, ids in sorted(found.get(t, ()), key=lambda x: x[:2]):
-                    names |= ids
-                    if own and i - a <= own[-1]["last"] + 1:
-                        own[-1]["last"] = max(own[-1]["last"], i - a + n - 1)
-                    else:
-                        own.append({"first": i - a, "last": i - a + n - 1})
-                spans.append(own)
-                items.append(sorted(names, key=lambda x: (x is None, x or "")))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(counts) if counts else [], pa.int64()), pa.array(spans, _OUT.field(2).type), pa.array(items, _OUT.field(3).type)], schema=_OUT)
-
-
-def test_blocks(tests: DataFrame, item_col: str, text_col: str, limit: int) -> Iterator[list[tuple[object, str | None]]]:
-    """The test items in blocks of at most `limit` bytes of text; a larger item is its own block."""
-    block: list[tuple[object, str | None]] = []
-    size = 0
-    for item, text in tests.select(item_col, text_col).toLocalIterator():
-        n = len((text or "").encode())
-        if block and size + n > limit:
-            yield block
-            block, size = [], 0
-        block.append((item, text))
-        size += n
-    yield block
-
-
-def find_leaks(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = SPAN, k: int = K, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, n_words, hits, items): for each document the merged spans of hit words and the sorted items that occur.
-
-    Each block of test items is one pass over the documents; with more than one block the passes' spans are merged.
-    """
+            for i in range(w.hi - w.lo):
+                a, b = int(w.first[i]), int(w.first[i + 1])
+                n = min(span, b - a)
+                if n:
+                    lines = [_line(w, j, n) for j in range(a, b - n + 1)]
+                    yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[w.lo + i].as_py()] * len(lines), pa.string()), pa.array([n] * len(lines), pa.int32()), pa.array(lines, pa.binary())], schema=_ITEMS)
+
+
+def _item_bits(batches: Iterator[pa.RecordBatch], span: int, k: int, size: int) -> Iterator[pa.RecordBatch]:
+    """One bit table for each window length of a task's items."""
+    tables: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for w in words_of(batch.column(1), ALNUM, LOWER):
+            h = w.hashes()
+            g = grams(h, k)
+            at = [(span, g[winnowed(g, whole(w, k), span + 1 - k)])]
+            short = np.flatnonzero((w.counts > 0) & (w.counts < span))
+            at += [(int(w.counts[i]), grams(h[w.first[i] : w.first[i + 1]], int(w.counts[i]))) for i in short.tolist()]
+            for n, x in at:
+                if len(x):
+                    own = tables.setdefault(n, np.zeros(size, np.uint8))
+                    bit = _bit(x, n, size)
+                    np.bitwise_or.at(own, bit >> 3, (1 << (bit & 7)).astype(np.uint8))
+    for n, own in tables.items():
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([own.tobytes()], pa.binary())], schema=_BITS)
+
+
+_FOUND = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("first", pa.int64()), ("n", pa.int32()), ("window", pa.binary())])
+FOUND = "row long, doc_id long, n_words long, first long, n int, window binary"
+
+
+def _scan(batches: Iterator[pa.RecordBatch], prints: Prints) -> Iterator[pa.RecordBatch]:
+    """Of each document row (row, doc_id, n_words); of each window around a fingerprint (row, first, n, window). A third column of a batch is the row number."""
+    row = TaskContext.get().partitionId() << 33
+    for batch in batches:
+        own = batch.column(2).to_numpy() if batch.num_columns > 2 else np.arange(row, row + batch.num_rows)
+        row += batch.num_rows
+        for w in words_of(batch.column(1), ALNUM, LOWER):
+            m = w.hi - w.lo
+            none = pa.nulls(m)
+            yield pa.RecordBatch.from_arrays([pa.array(own[w.lo : w.hi]), batch.column(0).slice(w.lo, m), pa.array(w.counts), none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], schema=_FOUND)
+            for n, at in prints.windows(w):
+                for lo in range(0, len(at), 4096):
+                    part = at[lo : lo + 4096]
+                    text = np.searchsorted(w.first, part, side="right") - 1
+                    none = pa.nulls(len(part), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(own[w.lo + text]), none, none, pa.array(part - w.first[text]), pa.array(np.full(len(part), n, np.int32)), pa.array([_line(w, i, n) for i in part.tolist()], pa.binary())], schema=_FOUND)
+
+
+def _found(docs: DataFrame, tests: DataFrame, item_col: str, item_text_col: str, span: int, k: int, size: int) -> tuple[DataFrame, DataFrame]:
+    """docs: (doc_id, text[, row]). The document rows (row, doc_id, n_words), and the windows that occur (row, first, n, item)."""
     spark = docs.sparkSession
     ship(spark)
+    items = tests.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text"))
+    windows = stored(items.mapInArrow(lambda b: _item_windows(b, span), "item string, n int, window binary").distinct())
+    bits, lengths = np.zeros(size, np.uint8), set()
+    for r in items.mapInArrow(lambda b: _item_bits(b, span, k, size), "n int, bits binary").toLocalIterator():
+        bits |= np.frombuffer(r["bits"], np.uint8)
+        lengths.add(r["n"])
+    shared = spark.sparkContext.broadcast(Prints(bits, sorted(lengths), span, k))
+    found = stored(docs.mapInArrow(lambda b: _scan(b, shared.value), FOUND))
+    occurs = found.where("n is not null").select("row", "first", "n", "window").join(windows, ["n", "window"]).select("row", "first", "n", "item")
+    return found.where("n is null").select("row", "doc_id", "n_words"), occurs
+
+
+def find_leaks(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = SPAN, k: int = K, table: int = TABLE) -> DataFrame:
+    """(doc_id, n_words, hits, items): for each document the merged spans of hit words and the sorted items that occur."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-
-    def scan(block):
-        shared = spark.sparkContext.broadcast(block)
-
-        def run(batches):
-            index = Index(shared.value, span, k)
-            yield from _scan(batches, index)
-
-        return texts.mapInArrow(run, HITS)
-
-    passes = [scan(block) for block in test_blocks(tests, item_col, item_text_col, block_bytes)]
-    return passes[0] if len(passes) == 1 else _merge(passes)
-
-
-def drop_leaks(docs: DataFrame, tests: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = SPAN, k: int = K, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of docs, all columns, in which no window of a test item occurs."""
-    ship(docs.sparkSession)
-    at = docs.columns.index(text_col)
-    for block in test_blocks(tests, item_col, item_text_col, block_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-
-        def run(batches, shared=shared):
-            index = Index(shared.value, span, k)
-            for batch in batches:
-                clean = np.ones(batch.num_rows, dtype=bool)
-                for w in words_of(batch.column(at), ALNUM, LOWER):
-                    for i, _, _ in index.hits(w):
-                        clean[w.lo + int(np.searchsorted(w.first, i, side="right")) - 1] = False
-                yield batch.filter(pa.array(clean))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
-
-
-def _merge(passes: list[DataFrame]) -> DataFrame:
-    """Merge the spans of several passes. Rows of equal id and equal length are told apart by order of their first spans only when ids repeat; their union is taken."""
-    every = passes[0]
-    for other in passes[1:]:
-        every = every.unionByName(other)
-    n = len(passes)
-    one = every.groupBy("doc_id", "n_words").agg(F.flatten(F.collect_list("hits")).alias("h"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.count("*").alias("c"))
+    rows, occurs = _found(texts, tests, item_col, item_text_col, span, k, table)
+    at = F.struct("first", (F.col("first") + F.col("n") - 1).alias("last"))
+    found = occurs.groupBy("row").agg(F.array_sort(F.collect_set(at)).alias("spans"), F.array_sort(F.collect_set(F.struct("item"))).alias("items"))
+    none = F.expr("cast(array() as array<struct<first:bigint,last:bigint>>)")
     merged = F.aggregate(
-        F.array_sort("h"),
-        F.expr("cast(array() as array<struct<first:long,last:long>>)"),
+        F.col("spans"),
+        none,
         lambda acc, x: F.when(
             (F.size(acc) > 0) & (x["first"] <= F.element_at(acc, -1)["last"] + 1),
-            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.named_struct(F.lit("first"), F.element_at(acc, -1)["first"], F.lit("last"), F.greatest(F.element_at(acc, -1)["last"], x["last"])))),
+            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["first"].alias("first"), F.greatest(F.element_at(acc, -1)["last"], x["last"]).alias("last")))),
         ).otherwise(F.concat(acc, F.array(x))),
     )
-    return one.select("doc_id", "n_words", merged.alias("hits"), "items", F.explode(F.sequence(F.lit(1), (F.col("c") / n).cast("int"))).alias("copy")).drop("copy")
+    found = found.select("row", merged.alias("hits"), F.array_sort(F.transform("items", lambda x: x["item"])).alias("items"))
+    return rows.join(found, "row", "left").select("doc_id", "n_words", F.coalesce("hits", none).alias("hits"), F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"))
+
+
+def drop_leaks(docs: DataFrame, tests: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = SPAN, k: int = K, table: int = TABLE) -> DataFrame:
+    """The rows of docs, all columns, in which no window of a test item occurs."""
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    kept = stored(docs.withColumn(row, F.monotonically_increasing_id()))
+    _, occurs = _found(kept.select(F.lit(None).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(row).alias("row")), tests, item_col, item_text_col, span, k, table)
+    hit = stored(occurs.select(F.col("row").alias(row)).distinct())
+    few = hit.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return kept.join(F.broadcast(hit) if few else hit, row, "left_anti").select(*docs.columns)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
