@@ -24,9 +24,20 @@ def hot_status(df: DataFrame, interval: int, p: int) -> DataFrame:
     return out.select(*df.columns, hot.alias("hot"))
 
 
-def hot_keys(df: DataFrame, interval: int, p: int, scale: int = 1) -> DataFrame:
-    """(iv, key, n) of keys that exceed total / (scale * p) of the interval before. Counts only: no ranks, no skew."""
-    d = df.groupBy(F.floor(F.col("ts") / interval).cast("long").alias("iv"), "key").agg(F.count("*").alias("n"))
+def _held_back(df: DataFrame, interval: int) -> DataFrame:
+    """df with `iv`, an interval's first record counted to the interval before (the first interval's isn't)."""
+    d = df.withColumn("iv", F.floor(F.col("ts") / interval).cast("long"))
+    first = d.groupBy("iv").agg(F.min("ts").alias("opens"))
+    return d.join(first, "iv").withColumn("iv", F.when((F.col("ts") == F.col("opens")) & (F.col("iv") > 0), F.col("iv") - 1).otherwise(F.col("iv"))).drop("opens")
+
+
+def hot_keys(df: DataFrame, interval: int, p: int, scale: int = 1, roll_first: bool = True) -> DataFrame:
+    """(iv, key, n) of keys that exceed total / (scale * p) of the interval before. Counts only: no ranks, no skew.
+
+    roll_first: the record that reaches an interval's start opens it; else it is the last of the interval before. ts are distinct and no interval is empty.
+    """
+    d = df.withColumn("iv", F.floor(F.col("ts") / interval).cast("long")) if roll_first else _held_back(df, interval)
+    d = d.groupBy("iv", "key").agg(F.count("*").alias("n"))
     totals = d.groupBy("iv").agg(F.floor(F.sum("n") / (scale * p)).cast("long").alias("thr")).withColumn("iv", F.col("iv") + 1)
     return d.join(totals, "iv").where("n > thr").select("iv", "key", "n")
 

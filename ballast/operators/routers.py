@@ -271,12 +271,24 @@ def route_rows(batches: Iterator[pa.RecordBatch], make: Callable) -> Iterator[pa
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(workers, pa.int32()), pa.array(hots, pa.bool_())], names=[*batch.schema.names, "worker", "is_hot"])
 
 
+def register(name: str, make: Callable, key_disjoint: bool = False) -> None:
+    """Add a partitioner under a new name: make(p, size, slide) gives an object with route(key, ts) -> (worker, is_hot). key_disjoint: it sends each key to one worker only."""
+    if name in ROUTERS or name in ("hashing", "shuffling"):
+        raise ValueError(f"partitioner {name} exists")
+    ROUTERS[name] = make
+    if key_disjoint:
+        KEY_DISJOINT.add(name)
+
+
 def routed(df: DataFrame, name: str, p: int, size: int, slide: int, agents: int | None = None) -> DataFrame:
-    """df (agent_id, ts, key, str) with worker and is_hot. Records without a key are dropped, as they have no route."""
+    """df (agent_id, ts, key, str) with worker and is_hot. Records without a key are dropped, as they have no route.
+
+    Agents are dealt to `agents` tasks, or to as many as a shuffle has partitions; one agent's rows stay in one task.
+    """
     if name not in ROUTERS:
         raise ValueError(f"unknown partitioner {name}")
     ship(df.sparkSession)
-    n = agents or 1
+    n = agents or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     rows = df.select("agent_id", "ts", "key", "str").where("key is not null and ts is not null").repartition(n, "agent_id").sortWithinPartitions("agent_id", "ts")
     make = ROUTERS[name]
     return rows.mapInArrow(lambda b: route_rows(b, lambda: make(p, size, slide)), "agent_id int, ts long, key int, str string, worker int, is_hot boolean")

@@ -15,6 +15,11 @@ def partial(df: DataFrame, slide: int) -> DataFrame:
     return df.withColumn("word", F.explode(split_words(F.col("str")))).groupBy(pane_of(F.col("ts"), slide).alias("pane"), "worker", "key", "word").agg(F.count("*").alias("cnt"), hot.alias("is_hot"))
 
 
+def by_worker(df: DataFrame, size: int, slide: int) -> DataFrame:
+    """Step 1 as each worker gives it out: (ws, worker, key, word, cnt)."""
+    return sliding(partial(df, slide), size, slide).groupBy("ws", "worker", "key", "word").agg(F.sum("cnt").alias("cnt"))
+
+
 def final(partials: DataFrame, size: int, slide: int) -> DataFrame:
     """Step 2: (ws, key, word, cnt), whatever workers the partials came from."""
     return sliding(partials, size, slide).groupBy("ws", "key", "word").agg(F.sum("cnt").alias("cnt"))

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from ballast.functions.windows import pane_of
 from ballast.operators import clustering, hotkeys, static, stats, wordcount
 from ballast.operators.cooperative import routed_cooperatively
-from ballast.operators.routers import ROUTERS, routed
+from ballast.operators.routers import KEY_DISJOINT, ROUTERS, routed
 from ballast.shared import shared_dir
 from ballast.sources import records
 
-P, SIZE, SLIDE = 8, 2000, 500
+P, SIZE, SLIDE, AGENTS = 8, 2000, 500, 4
 M = SIZE // SLIDE
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,13 +29,17 @@ def assigned(df: DataFrame, name: str, p: int = P, size: int = SIZE, slide: int
 
 
 def _wc(name: str) -> Query:
-    return lambda spark, d: wordcount.word_count(assigned(records.events(spark, d), name), SIZE, SLIDE, name in ("hashing", "cam"))
+    return lambda spark, d: wordcount.word_count(assigned(records.events(spark, d), name), SIZE, SLIDE, name in KEY_DISJOINT)
+
+
+def _by_agents(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """Records dealt to agents that each route by themselves."""
+    return assigned(records.dealt(records.events(spark, d), AGENTS), name)
 
 
 def _coop(spark: SparkSession, d: str) -> DataFrame:
     """Two agents take turns at the records."""
-    e = records.events(spark, d).withColumn("agent_id", (F.col("ts") % 2).cast("int"))
-    return routed_cooperatively(e, P, SIZE, SLIDE, 2, 4 * SIZE)
+    return routed_cooperatively(records.dealt(records.events(spark, d), 2), P, SIZE, SLIDE, 2, 4 * SIZE)
 
 
 def _hashed(spark: SparkSession, d: str) -> DataFrame:
@@ -110,8 +114,10 @@ def queries() -> dict[str, Query]:
     found: dict[str, Query] = {
         "wc_hashing": _wc("hashing"),
         "wc_shuffling_two_step": _wc("shuffling"),
-        **{f"wc_{name}": _wc(name) for name in ROUTERS},
-        "wc_coop": lambda s, d: wordcount.word_count(_coop(s, d), SIZE, SLIDE),
+        **{f"wc_{name}": lambda s, d, name=name: wordcount.by_worker(_by_agents(s, d, name), SIZE, SLIDE) for name in ROUTERS},
+        "wc_coop": lambda s, d: wordcount.by_worker(_coop(s, d), SIZE, SLIDE),
+        "wc_cam_one_step": lambda s, d: wordcount.word_count(_by_agents(s, d, "cam"), SIZE, SLIDE, True),
+        "wc_two_choices_two_step": lambda s, d: wordcount.word_count(_by_agents(s, d, "two_choices"), SIZE, SLIDE),
         "wc_documents": lambda s, d: records.documents(s, d).withColumn("word", F.explode(wordcount.split_words(F.col("str")))).groupBy("key", "word").agg(F.count("*").alias("cnt")),
         "wc_forward_hot_only": _forward(True),
         "wc_forward_cold_only": _forward(False),
@@ -137,7 +143,7 @@ def queries() -> dict[str, Query]:
         "qtable_merge": _qtables,
         "hot_status_per_record": lambda s, d: hotkeys.hot_status(records.events(s, d), SLIDE, P).select("ts", "key", "hot"),
         "hot_keys_exact": lambda s, d: hotkeys.hot_keys(records.events(s, d), SLIDE, P),
-        "hot_keys_dag": lambda s, d: hotkeys.hot_keys(records.events(s, d), SLIDE, P, 100),
+        "hot_keys_dag": lambda s, d: hotkeys.hot_keys(records.events(s, d), SLIDE, P, 100, roll_first=False),
         "hot_keys_sketch": lambda s, d: hotkeys.hot_keys_sketched(records.events(s, d), SLIDE, P, 100),
         "topk_keys": lambda s, d: hotkeys.top_keys(records.events(s, d), SLIDE, P),
         "cms_estimate": _estimates,
@@ -149,7 +155,7 @@ def queries() -> dict[str, Query]:
         "route_coop": lambda s, d: _coop(s, d).select("agent_id", "ts", "key", "worker", "is_hot"),
     }
     for name in ROUTERS:
-        found[f"route_{name}"] = lambda s, d, name=name: assigned(records.events(s, d), name).select("ts", "key", "worker", "is_hot")
+        found[f"route_{name}"] = lambda s, d, name=name: _by_agents(s, d, name).select("agent_id", "ts", "key", "worker", "is_hot")
     return found
 
 
@@ -174,6 +180,41 @@ def _forward_sql(test: str) -> str:
     return f"{_HOT}, w AS (SELECT {_WS}, key, hot, {_WORDS} FROM h, range({M}) t(i)), k AS (SELECT (ts // {SLIDE} - i) * {SLIDE} ws, key, bool_or(hot) kh FROM h, range({M}) t(i) WHERE str = '' OR trim(str) <> '' GROUP BY ALL) SELECT ws, key, word, count(*) cnt FROM w JOIN k USING (ws, key) WHERE {test} GROUP BY ALL"
 
 
+#: A record's worker from those of all before it: recursion over an agent's records, all agents side by side. The state is
+#: the list of (pane * K + key * P + worker) of records that haven't expired.
+_K = 1 << 40
+_OF = "len(list_filter(st, lambda e: e % {p} = {h}))"
+_KEYS_OF = "len(list_distinct(list_transform(list_filter(st, lambda e: e % {p} = {h}), lambda e: e % {k})))"
+
+
+def _route_sql(name: str) -> str:
+    """(agent_id, ts, key, worker, is_hot, str) as CTE x."""
+    load, keys = (lambda h: _OF.format(p=P, h=h)), (lambda h: _KEYS_OF.format(p=P, h=h, k=_K))
+    seen = lambda h: f"list_contains(list_transform(st, lambda e: e % {_K}), key * {P} + {h})"
+    less = f"CASE WHEN {load('h1')} < {load('h2')} THEN h1 ELSE h2 END"
+    gain = f"0.5::DOUBLE * (CASE WHEN {seen('i')} THEN 1 ELSE 0 END) - (CASE WHEN len(st) = 0 THEN 0 ELSE 0.5::DOUBLE * ({load('i')} - len(st) / {P}::DOUBLE) / (len(st) / {P}::DOUBLE) END)"
+    gains = "[" + ", ".join(gain.replace("+ i)", f"+ {i})").replace("= i)", f"= {i})") for i in range(P)) + "]"
+    choice = {
+        "two_choices": less,
+        "cm": f"CASE WHEN {keys('h1')} < {keys('h2')} THEN h1 ELSE h2 END",
+        "cam": f"CASE WHEN {seen('h1')} THEN h1 WHEN {seen('h2')} THEN h2 ELSE {less} END",
+        "dagreedy": f"CASE WHEN hot THEN list_position({gains}, list_max({gains})) - 1 ELSE h1 END",
+    }[name]
+    keep = "s.st" if name == "cam" else f"CASE WHEN r.pane = s.pane THEN s.st ELSE list_filter(s.st, lambda e: e // {_K} >= r.pane - {M}) END"
+    x = "((key + 1) * 0.6180339887498949::DOUBLE)"
+    # an interval's first record belongs to the one before; hot: over the last interval's total / 100 P in this one, or in the one before until this one's end
+    hot = f"""d AS (SELECT *, CASE WHEN ts // {SLIDE} > 0 AND ts = min(ts) OVER (PARTITION BY a, ts // {SLIDE}) THEN ts // {SLIDE} - 1 ELSE ts // {SLIDE} END iv FROM b),
+t AS (SELECT a, iv + 1 iv, count(*) // {100 * P} thr FROM d GROUP BY ALL),
+q AS (SELECT d.*, row_number() OVER (PARTITION BY d.a, d.iv, key ORDER BY ts) > thr AS over FROM d LEFT JOIN t ON t.a = d.a AND t.iv = d.iv),
+g AS (SELECT DISTINCT a, iv, key FROM q WHERE over),
+r AS MATERIALIZED (SELECT q.*, coalesce(over, false) OR (g.key IS NOT NULL AND ts < (q.iv + 1) * {SLIDE}) hot FROM q LEFT JOIN g ON g.a = q.a AND g.key = q.key AND g.iv = q.iv - 1)"""
+    return f"""WITH RECURSIVE {_REC}, b AS (SELECT ts % {AGENTS} a, ts // {AGENTS} o, ts, ts // {SLIDE} pane, key, str, key % {P} h1, CAST(floor({P} * ({x} - trunc({x}))) AS BIGINT) % {P} h2 FROM rec),
+{hot if name == "dagreedy" else "r AS MATERIALIZED (SELECT *, true hot FROM b)"},
+s AS (SELECT DISTINCT a, CAST(-1 AS BIGINT) o, CAST(0 AS BIGINT) pane, CAST([] AS BIGINT[]) st, CAST(0 AS BIGINT) w FROM r UNION ALL
+SELECT a, o, pane, list_append(st, pane * {_K} + key * {P} + w), w FROM (SELECT *, {choice} w FROM (SELECT r.*, {keep} st FROM s JOIN r ON r.a = s.a AND r.o = s.o + 1))),
+x AS (SELECT CAST(r.a AS INTEGER) agent_id, r.ts, r.key, CAST(w AS INTEGER) worker, hot is_hot, str FROM s JOIN r ON r.a = s.a AND r.o = s.o)"""
+
+
 def _cms_sql() -> str:
     width, depth = hotkeys.sketch_size(0.05, 0.9)
     rows = ", ".join(f"({i}, {a}::BIGINT)" for i, a in enumerate(hotkeys.multipliers(depth)))
@@ -191,7 +232,9 @@ def oracle_sql() -> dict[str, str]:
     two = f"WITH {_REC}, u AS (SELECT 1 agent_id, 1 + 2 * ts ts, key, str FROM rec UNION ALL {orders})"
     x = "((key + 1) * 0.6180339887498949::DOUBLE)"
     return {
-        **{name: _WC for name in ("wc_hashing", "wc_shuffling_two_step", *(f"wc_{n}" for n in ROUTERS), "wc_coop")},
+        **{name: _WC for name in ("wc_hashing", "wc_shuffling_two_step", "wc_cam_one_step", "wc_two_choices_two_step")},
+        **{f"route_{n}": f"{_route_sql(n)} SELECT agent_id, ts, key, worker, is_hot FROM x" for n in ("two_choices", "cm", "cam", "dagreedy")},
+        **{f"wc_{n}": f"{_route_sql(n)} SELECT ws, worker, key, word, count(*) cnt FROM (SELECT key, worker, {_WS}, {_WORDS} FROM x, range({M}) t(i)) GROUP BY ALL" for n in ("two_choices", "cm", "cam", "dagreedy")},
         "wc_documents": f"WITH l AS (SELECT lang, CAST(row_number() OVER (ORDER BY lang) - 1 AS INTEGER) AS key FROM (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL)) SELECT coalesce(key, -1) AS key, word, count(*) cnt FROM (SELECT lang, {_WORDS} FROM (SELECT lang, text str FROM documents)) LEFT JOIN l USING (lang) GROUP BY ALL",
         "wc_forward_hot_only": _forward_sql("kh"),
         "wc_forward_cold_only": _forward_sql("NOT kh"),
@@ -217,7 +260,7 @@ def oracle_sql() -> dict[str, str]:
         "qtable_merge": f"WITH {_REC}, q AS (SELECT key, CAST(a AS INTEGER) AS action, ts % 5 + 1 n, -((key * 7 + ts * (a + 3)) % 100) / 50.0::DOUBLE q FROM rec, range(4) t(a)) SELECT key, action, round(sum(n * q) / sum(n), 9) q FROM q GROUP BY ALL",
         "hot_status_per_record": f"{_HOT} SELECT ts, key, hot FROM h",
         "hot_keys_exact": f"{_COUNTS} SELECT iv, key, n FROM n WHERE n > (SELECT sum(n) // {P} FROM n x WHERE x.iv = n.iv - 1)",
-        "hot_keys_dag": f"{_COUNTS} SELECT iv, key, n FROM n WHERE n > (SELECT sum(n) // {100 * P} FROM n x WHERE x.iv = n.iv - 1)",
+        "hot_keys_dag": f"WITH {_REC}, n AS (SELECT iv, key, count(*) n FROM (SELECT key, CASE WHEN ts // {SLIDE} > 0 AND ts = min(ts) OVER (PARTITION BY ts // {SLIDE}) THEN ts // {SLIDE} - 1 ELSE ts // {SLIDE} END iv FROM rec) GROUP BY ALL) SELECT iv, key, n FROM n WHERE n > (SELECT sum(n) // {100 * P} FROM n x WHERE x.iv = n.iv - 1)",
         "hot_keys_sketch": _sketch_sql(),
         "topk_keys": f"{_COUNTS} SELECT iv, CAST(r AS INTEGER) AS rank, key, n FROM (SELECT *, row_number() OVER (PARTITION BY iv ORDER BY n DESC, key) r FROM n) WHERE r <= {P}",
         "cms_estimate": _cms_sql(),

@@ -62,6 +62,11 @@ def read_lines(spark: SparkSession, path: str, agent_id: int = 0, start: int = 0
     return placed.join(before, ["file", "start"]).select(F.lit(agent_id).alias("agent_id"), (F.lit(start) + F.lit(step) * (F.col("before") + F.col("n"))).cast("long").alias("ts"), "key", "str")
 
 
+def dealt(df: DataFrame, agents: int) -> DataFrame:
+    """A source's records dealt to some agents in turn; ordinals stay those of the source."""
+    return df.withColumn("agent_id", F.pmod("ts", F.lit(agents)).cast("int"))
+
+
 def replayed(df: DataFrame, n: int, cycles: int, agents: int = 1) -> DataFrame:
     """A finite replay of a circular source of n records with ordinals from 0, by each of some agents."""
     rounds = F.explode(F.sequence(F.lit(0), F.lit(cycles - 1)))

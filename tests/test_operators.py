@@ -87,6 +87,200 @@ def test_routed_equals_the_model(spark):
         routers.routed(df, "HASHING", 4, 80, 40)
 
 
+def sequential_dag(keys, p, interval, scale):
+    """Hot keys by interval with plain counters: the test comes first, and the record that reaches a boundary still belongs to the old interval."""
+    iv, nxt, total, least, counts, hot = 0, interval, 0, None, {}, set()
+    for t, k in keys:
+        total += 1
+        counts[k] = counts.get(k, 0) + 1
+        if least is not None and counts[k] > least:
+            hot.add((iv, k))
+        if t >= nxt:
+            iv, nxt, least, total, counts = iv + 1, nxt + interval, total // (scale * p), 0, {}
+    return hot
+
+
+def test_dag_hot_keys_equal_a_sequential_model(spark):
+    cases = [[(t, 777 if t in (600, 700, 1000) else t + 1000) for t in range(1400)]]
+    rng = random.Random(8)
+    for _ in range(2):
+        ts = [t for t in range(400) if t % 50 or rng.random() < 0.5]
+        cases.append([(t, rng.choice([0, 0, 1, rng.randrange(30)])) for t in ts])
+    for keys, p, interval, scale in zip(cases, (2, 3, 2), (500, 50, 50), (100, 1, 2), strict=True):
+        df = spark.createDataFrame(keys, "ts long, key int")
+        got = {(r["iv"], r["key"]) for r in hotkeys.hot_keys(df, interval, p, scale, roll_first=False).collect()}
+        assert got == sequential_dag(keys, p, interval, scale)
+
+
+class Plain:
+    """What a learned router must do, from records alone: nothing is kept but the list of what was routed where."""
+
+    def __init__(self, p, size, slide, seed=3):
+        import numpy as np
+
+        self.p, self.size, self.slide, self.rng = p, size, slide, np.random.default_rng(seed)
+        self.seen, self.until, self.q, self.full, self.allowed = [], {}, {}, set(), 2
+
+    def recent(self, ts):
+        return [(k, w) for t, k, w in self.seen if t // self.slide >= ts // self.slide - self.size // self.slide]
+
+    def hot(self, key, ts):
+        iv = ts // self.slide
+        before = sum(1 for t, _, _ in self.seen if t // self.slide == iv - 1)
+        count = 1 + sum(1 for t, k, _ in self.seen if t // self.slide == iv and k == key)
+        if iv and count > before // self.p:
+            self.until[key] = (iv + 2) * self.slide
+        elif key in self.until and ts > self.until[key]:
+            del self.until[key]
+            self.q.pop(key, None)
+        return key in self.until
+
+    def reward(self, key, w, ts):
+        rows = self.recent(ts)
+        load, mean = sum(1 for _, x in rows if x == w), len(rows) / self.p
+        kf = len({x for k, x in rows if k == key})
+        if kf == self.allowed:
+            self.full.add(key)
+        if self.until and len(self.full) >= 0.7 * len(self.until) and self.allowed < 6:
+            self.full, self.allowed = set(), self.allowed + 1
+        return -(0.5 * (load - mean) / max(load, mean) + 0.5 * kf / self.p)
+
+    def explore(self, key, ts):
+        if key in self.full:
+            own = sorted({x for k, x in self.recent(ts) if k == key})
+            if own:
+                return own[int(self.rng.integers(len(own)))]
+            self.full.discard(key)
+        return int(self.rng.integers(self.p))
+
+    def bandit(self, key, ts):
+        hot, w = self.hot(key, ts), key % self.p
+        if hot:
+            q = self.q.setdefault(key, [-2.0] * self.p)
+            if self.rng.random() < 0.1:
+                w = self.explore(key, ts)
+            else:
+                for i, x in enumerate(q):
+                    w = i if x > q[w] else w
+        self.seen.append((ts, key, w))
+        if hot:
+            q[w] += 0.1 * (self.reward(key, w, ts) - q[w])
+        return w, hot
+
+    def sarsa(self, key, ts, agent):
+        import numpy as np
+
+        hot, w = self.hot(key, ts), key % self.p
+        if not hot:
+            self.seen.append((ts, key, w))
+            return w, False
+
+        def state():
+            rows = self.recent(ts)
+            return np.array([*(sum(1 for _, x in rows if x == i) for i in range(self.p)), len({x for k, x in rows if k == key}) / self.p, *(key >> i & 1 for i in range(16))], dtype=float)
+
+        before = state()
+        w = agent.act(before, lambda: self.explore(key, ts))
+        self.seen.append((ts, key, w))
+        after = state()
+        agent.update(before, w, self.reward(key, w, ts), after, agent.act(after))
+        return w, True
+
+
+def routed_rows(n, agents=1):
+    return [(t % agents, t, (t * 7919) % 13 if t % 3 else (t // 97) % 3, "a") for t in range(n)]
+
+
+def test_bandit_equals_plain_rules(spark):
+    rows = routed_rows(900, 3)
+    df = spark.createDataFrame(rows, "agent_id int, ts long, key int, str string")
+    want, models = {}, [Plain(4, 120, 30) for _ in range(3)]
+    for a, t, k, _ in rows:
+        want[t] = models[a].bandit(k, t)
+    got = {r["ts"]: (r["worker"], r["is_hot"]) for r in routers.routed(df, "bandit", 4, 120, 30).collect()}
+    assert got == want and any(h for _, h in want.values()) and {m.allowed for m in models} != {2}
+
+
+def test_sarsa_equals_plain_rules(spark):
+    rows = routed_rows(300)
+    df = spark.createDataFrame(rows, "agent_id int, ts long, key int, str string")
+    model, agent = Plain(4, 120, 30), sarsa.Sarsa(4 + 1 + 16, 4, 3)
+    want = [model.sarsa(k, t, agent) for _, t, k, _ in rows]
+    assert [(r["worker"], r["is_hot"]) for r in routers.routed(df, "sarsa", 4, 120, 30).orderBy("ts").collect()] == want
+
+
+def test_agents_route_in_tasks_of_their_own(spark):
+    df = spark.createDataFrame(routed_rows(400, 4), "agent_id int, ts long, key int, str string")
+    out = routers.routed(df, "two_choices", 4, 40, 20).withColumn("part", F.spark_partition_id())
+    assert out.groupBy("agent_id").agg(F.countDistinct("part").alias("n")).where("n > 1").count() == 0
+    assert out.select("part").distinct().count() > 1
+
+
+def test_a_partitioner_can_be_registered(spark):
+    class Last:
+        def __init__(self, p, size, slide):
+            self.p = p
+
+        def route(self, key, ts):
+            return self.p - 1, False
+
+    routers.register("last", Last, True)
+    try:
+        df = spark.createDataFrame(routed_rows(20), "agent_id int, ts long, key int, str string")
+        assert {(r["worker"], r["is_hot"]) for r in assigned(df, "last", 4, 40, 20).collect()} == {(3, False)}
+        with pytest.raises(ValueError):
+            routers.register("hashing", Last)
+    finally:
+        del routers.ROUTERS["last"]
+        routers.KEY_DISJOINT.discard("last")
+
+
+def edit(a, b):
+    if not a or not b:
+        return len(a) + len(b)
+    return min(edit(a[1:], b) + 1, edit(a, b[1:]) + 1, edit(a[1:], b[1:]) + (a[0] != b[0]))
+
+
+def plain_weight(a, b):
+    return 1.0 if a == b else 1 - 2 * edit(a, b) / max(len(a), len(b))
+
+
+names = st.lists(st.text("abc", max_size=4), min_size=1, max_size=7)
+
+
+@settings(max_examples=40, deadline=None)
+@given(names)
+def test_best_and_vote_equal_plain_rules(strings):
+    for rule, score in (("BEST", max), ("VOTE", sum)):
+        groups, want = [], []
+        for i, s in enumerate(strings):
+            gains = [score(plain_weight(s, strings[j]) for j in g) for g in groups]
+            top = max(gains, default=0)
+            at = next((k for k, x in enumerate(gains) if x > 1e-12 and x > top - 1e-12), len(groups))
+            groups += [[]] * (at == len(groups))
+            groups[at] = [*groups[at], i]
+            want.append(at)
+        assert clustering.greedy(strings, rule) == want
+
+
+@settings(max_examples=40, deadline=None)
+@given(names, st.randoms(use_true_random=False))
+def test_merge_ends_where_nothing_gains(strings, rng):
+    start = [rng.randrange(3) for _ in strings]
+    end = clustering.merged(strings, start)
+    n = len(strings)
+    w = [[plain_weight(a, b) for b in strings] for a in strings]
+    total = lambda c: sum(w[i][j] for i in range(n) for j in range(i) if c[i] == c[j])
+    assert total(end) >= total(start) - 1e-9 and all(end[c] == c for c in end)
+    for a in set(end):
+        for b in set(end) - {a}:  # no merge
+            assert total([a if c == b else c for c in end]) <= total(end) + 1e-6
+    for i in range(n):  # no record leaves for another cluster or for one of its own
+        for b in (set(end) | {n + 1}) - {end[i]}:
+            if b == n + 1 or end.count(end[i]) > 1:
+                assert total([b if j == i else c for j, c in enumerate(end)]) <= total(end) + 1e-6
+
+
 def test_bandit_balances_better_than_hashing(spark):
     df = records.events(spark, "/root/testdata/sf0.01")
     skew = {n: stats.imbalance(assigned(df, n), 2000, 500, 8).agg(F.avg("imbalance")).first()[0] for n in ("hashing", "bandit")}
