@@ -76,8 +76,8 @@ def rows(schema: pa.Schema, *columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def with_answers(blocks: DataFrame, answers: DataFrame, n: int, finish: Callable, schema: str) -> DataFrame:
-    """finish(block, texts, payloads of its answers) -> record batches, for every block."""
+def with_answers(blocks: DataFrame, answers: DataFrame, n: int, finish: Callable, schema: str, read: Callable = read_texts) -> DataFrame:
+    """finish(block, read(its payload), payloads of its answers by kind) -> record batches, for every block."""
     both = blocks.select("block", F.lit(1 << 20).alias("kind"), "payload").unionByName(answers)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,7 +87,7 @@ def with_answers(blocks: DataFrame, answers: DataFrame, n: int, finish: Callable
                 if block != at:
                     at, held = block, []
                 if kind == 1 << 20:
-                    yield from finish(block, read_texts(payload.as_buffer()), held)
+                    yield from finish(block, read(payload.as_buffer()), held)
                     held = []
                 else:
                     held.append(payload.as_buffer().to_pybytes())
