@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import math
 import os
 import re
@@ -18,7 +19,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from oracle import SF, duck, rows  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
-from ballast.llm import bpe, decontaminate, graph, imatch, language, licenses, lm, nearsets, registry, repeats, simhash, toxicity, urls  # noqa: E402
+from ballast.llm import bpe, decontaminate, graph, imatch, language, licenses, lm, nearsets, registry, repeats, simhash, tables, toxicity, urls  # noqa: E402
 
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
 PASSAGE = " ".join(f"shared{i}" for i in range(30))
@@ -315,15 +316,84 @@ def test_lm(docs, none):
 
 
 def test_lm_predictions_add_up_to_one():
-    rng = np.random.default_rng(0)
     c_root, t_root = np.array([5.0, 2.0, 1.0]), np.array([2.0, 1.0, 1.0])
-    t = lm.Totals(np.array([0.0, 9.0]), np.array([0.0, 4.0]), (c_root.sum(), t_root.sum()), 0.7, 0.5, 3)
-    p1 = t.parent(np.append(c_root, 0), np.append(t_root, 0))
+    m = lm.Model(0.7, 0.5, 3, (c_root.sum(), t_root.sum()))
+    p1 = m.parent(np.append(c_root, 0), np.append(t_root, 0))
     assert np.isclose(p1.sum(), 1)
-    p = t.predict(np.ones(4, int), np.array([6.0, 3.0, 0.0, 0.0]), np.array([3.0, 1.0, 0.0, 0.0]), p1)
+    p = m.predict(np.array([6.0, 3.0, 0.0, 0.0]), np.array([3.0, 1.0, 0.0, 0.0]), np.full(4, 9.0), np.full(4, 4.0), p1)
     assert np.isclose(p.sum(), 1)
-    seated = lm.seat(rng, np.array([0, 1, 7, 100_000]), np.full(4, 1.0), np.full(4, 0.3), 0.7)
-    assert seated[0] == 0 and seated[1] == 1 and 1 <= seated[2] <= 7 and 1 < seated[3] < 100_000
+
+
+def log_rising(x, n, step):
+    return sum(math.log(x + k * step) for k in range(n))
+
+
+def exact_predictions(cells, n_words, n_contexts, d, d_root):
+    """Predictive probabilities by adding up every table count of every cell and word."""
+    s, s0 = lm.STRENGTH, lm.STRENGTH_ROOT
+    st, st0 = tables.log_stirling(d), tables.log_stirling(d_root)
+    total, out = 0.0, np.zeros((n_contexts, n_words))
+    n = [sum(c for _, u, c in cells if u == v) for v in range(n_contexts)]
+    for t in itertools.product(*(range(1, c + 1) for _, _, c in cells)):
+        above = [sum(x for x, (w, _, _) in zip(t, cells, strict=True) if w == v) for v in range(n_words)]
+        of = [sum(x for x, (_, u, _) in zip(t, cells, strict=True) if u == v) for v in range(n_contexts)]
+        inner = sum(log_rising(s, x, d) for x in of) + sum(st[c, x] for x, (_, _, c) in zip(t, cells, strict=True))
+        for root in itertools.product(*(range(1, c + 1) for c in above)):
+            weight = math.exp(inner + log_rising(s0, sum(root), d_root) + sum(st0[c, x] for c, x in zip(above, root, strict=True)) - sum(root) * math.log(n_words + 1) - log_rising(s0, sum(above), 1))
+            total += weight
+            m = lm.Model(d, d_root, n_words, (sum(above), sum(root)))
+            p1 = m.parent(np.array(above, float), np.array(root, float))
+            for v in range(n_contexts):
+                c, k = np.zeros(n_words), np.zeros(n_words)
+                for x, (w, u, own) in zip(t, cells, strict=True):
+                    if u == v:
+                        c[w], k[w] = own, x
+                out[v] += weight * m.predict(c, k, np.full(n_words, n[v]), np.full(n_words, of[v]), p1)
+    return out / total
+
+
+def test_lm_sampler_agrees_with_exact_enumeration():
+    cells, d, d_root = [(0, 0, 4), (1, 0, 1), (0, 1, 2), (1, 1, 3), (2, 1, 1)], 0.6, 0.4
+    want = exact_predictions(cells, 3, 2, d, d_root)
+    rank, at, c = (np.array(x) for x in zip(*cells, strict=True))
+    rng, t, root, got, sweeps = np.random.default_rng(1), np.ones(5), np.ones(3), np.zeros((2, 3)), 6000
+    own = lm.Cells(rank, at, c, np.zeros(2), 3)
+    n = np.bincount(at, c)
+    for _ in range(sweeps):
+        m = lm.Model(d, d_root, 3, (t.sum(), root.sum()))
+        t, root = lm.sweep(rng, m, own, t, root, groups=5)
+        m = lm.Model(d, d_root, 3, (t.sum(), root.sum()))
+        p1 = m.parent(np.bincount(rank, t), root)
+        of = np.bincount(at, t)
+        p = np.tile(p1, (2, 1)) * (lm.STRENGTH + d * of[:, None]) / (n + lm.STRENGTH)[:, None]
+        p[at, rank] += (c - d * t) / (n + lm.STRENGTH)[at]
+        got += p / sweeps
+    assert np.abs(got - want).max() < 0.01
+
+
+@pytest.mark.parametrize(("c", "others", "p"), [(1024, 50.0, 0.05), (1024, 5000.0, 0.01), (1000, 2e5, 0.02), (700, 3.0, 1e-4)])
+def test_tables_of_many_customers_follow_the_exact_law(c, others, p):
+    for d in (0.3, 0.8):
+        k = np.arange(c)
+        logit = tables.log_stirling(d)[c, 1 : c + 1].astype(float) + np.cumsum(np.log(1 + d * (others + k))) + (k + 1) * math.log(p)
+        w = np.exp(logit - logit.max())
+        mean = (w * (k + 1)).sum() / w.sum()
+        sd = math.sqrt((w * (k + 1 - mean) ** 2).sum() / w.sum())
+        rng, n = np.random.default_rng(0), 2000
+        exact = tables.draw(rng, np.full(n, c), np.full(n, others), 1.0, d, np.full(n, p))
+        curve = tables._many(rng, np.full(n, float(c)), np.full(n, (1 + d * others) * p), np.full(n, p), d)
+        for drawn in (exact, curve):
+            assert abs(drawn.mean() - mean) < 0.1 * sd + 0.02 * mean and abs(drawn.std() - sd) < 0.15 * sd + 0.05
+
+
+def test_lm_has_a_restaurant_for_every_context(spark):
+    """A pair seen often after a rare word is likelier there than elsewhere, however large the rest of the corpus."""
+    filler = [(i, " ".join(f"f{(i * 7 + k * k) % 500}" for k in range(400))) for i in range(60)]
+    rare = [(1000 + i, "onlyhere follows") for i in range(3)]
+    docs = [d for d in filler + rare if zlib.crc32(str(d[0]).encode()) % 10]
+    tests = [(next(i for i in range(5000, 9000) if zlib.crc32(str(i).encode()) % 10 == 0), "onlyhere follows"), (next(i for i in range(9000, 9999) if zlib.crc32(str(i).encode()) % 10 == 0), "f1 follows")]
+    got = {r["doc_id"]: r["score"] for r in lm.score_texts(spark.createDataFrame(docs + tests, "doc_id long, text string")).collect()}
+    assert got[tests[0][0]] > got[tests[1][0]] + 1
 
 
 def test_lm_beats_the_base_on_held_out_texts(spark):
