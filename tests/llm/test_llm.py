@@ -273,6 +273,57 @@ def test_urls(spark):
     assert urls.judge_urls(pages.limit(0)).count() == 0
 
 
+def plain_verdicts(pages):
+    """Verdicts by loops: rule, else the host's posterior bound, shrunk from suffix to domain to host."""
+    rows = []
+    for i, url in pages:
+        m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", url or "")
+        host, path = (m[1].translate({c: c + 32 for c in range(65, 91)}), m[2]) if m else ("", "")
+        fits = [(len(h) + len(p), v) for v, h, p in urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        rows.append((i, host, max(fits)[1] if fits else None))
+    name = lambda h: h.split(".")
+    two = lambda h: ".".join(name(h)[-2:])
+    suffix = {h: two(h) if two(h) in urls.TWO_PART else name(h)[-1] for _, h, _ in rows}
+    domain = {h: ".".join(name(h)[-3:]) if two(h) in urls.TWO_PART else two(h) for _, h, _ in rows}
+    levels = []
+    for key in (suffix, domain, {h: h for h in suffix}):
+        n, bad = Counter(), Counter()
+        for _, h, v in rows:
+            n[key[h]] += 1
+            bad[key[h]] += v == "block"
+        levels.append((n, bad))
+    mean = (sum(levels[0][1].values()) + 0.5) / (len(rows) + 1)
+
+    def strength(n, bad):
+        var = np.mean([(bad[k] / n[k] - mean) ** 2 for k in n])
+        return 200.0 if not var else min(200.0, max(1.0, (mean * (1 - mean) - var) / max(var - mean * (1 - mean) / np.mean(list(n.values())), 1e-9)))
+
+    s = [strength(*x) for x in levels]
+    out = {}
+    for i, h, v in rows:
+        p = mean
+        for (n, bad), key, own in zip(levels, (suffix, domain, {h: h}), s, strict=True):
+            p = (bad[key[h]] + own * p) / (n[key[h]] + own)
+        sd = math.sqrt(p * (1 - p) / (levels[2][0][h] + s[2] + 1))
+        out[i] = v or ("block" if p - 1.645 * sd > 0.5 else "allow")
+    return out
+
+
+def test_urls_where_the_posterior_decides(spark):
+    rng = np.random.default_rng(2)
+    pages = []
+    for host, share, n in (("a.bad.org", 0.95, 60), ("b.bad.org", 1.0, 8), ("c.bad.org", 0.5, 40), ("x.fine.org", 0.1, 60), ("p.co.uk", 0.0, 30), ("q.s.net", 0.7, 50), ("new.bad.org", 0.0, 1), ("com", 1.0, 30), ("z.example.com", 0.9, 30)):
+        path = {"org": "/es/", "net": "/de/", "com": "/en/"}.get(host.split(".")[-1], "/")
+        pages += [(len(pages) + k, f"http://{host}{path if rng.random() < share else '/other/'}{k}") for k in range(n)]
+    df = spark.createDataFrame([(*p, 0.5, 1.5, "u", "r", 7) for p in pages], "page_id long, url string, mean double, sd double, _url string, _ruled string, n int")
+    got = urls.judge_urls(df).collect()
+    want = plain_verdicts(pages)
+    assert {r["page_id"]: r["verdict"] for r in got} == want
+    by_posterior = {r["verdict"] for r in got if r["rule"] is None}
+    assert by_posterior == {"block", "allow"} and {(r["mean"], r["sd"], r["_url"], r["_ruled"], r["n"]) for r in got} == {(0.5, 1.5, "u", "r", 7)}
+    assert {r["page_id"]: r["verdict"] for r in urls.judge_urls(df, broadcast_hosts=1).collect()} == want
+
+
 def test_toxicity(spark, docs, none):
     clean = [(i, f"fine text number {i} about {chr(97 + i % 26)}{i}tree and rivers", 0) for i in range(300)]
     bad = [(1000 + i, f"you are a moron said number {i} to {chr(97 + i % 26)}{i}bush", 1) for i in range(40)]
