@@ -3,11 +3,12 @@
 The document frequency of every term is counted over all documents. The lexicon keeps terms within a band of it; as a
 document has d distinct terms on average, the lower end of the band bounds the lexicon at d / low terms whatever the
 corpus. 32 subsets of the lexicon are drawn at four rates (a quarter down to a 256th). For each subset a document's
-distinct terms are sorted and hashed together; subsets in which it has no term give none. Likeness of two fingerprints is
-the share of equal hashes among the subsets where either has one, and 1 where neither has any.
+distinct terms are sorted and hashed together; subsets in which it has no term give none. A text with words but without a
+term in any subset is hashed by all its distinct words instead, so that only texts of the same words are alike. Likeness of two
+fingerprints is the share of equal hashes among the subsets where either has one, and 1 where neither has any.
 
 Defined results: a null or empty text has no terms, its fingerprint is all zeros and its likeness to another such is 1;
-repeated rows repeat; other columns are ignored; an empty table gives an empty result.
+a null id comes after all others; repeated rows repeat; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,12 +18,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ballast.llm.blocks import ASK, ASKS, read_texts, rows, write_texts
+from ballast.llm.blocks import ASK, ASKS, rows
 from ballast.llm.vec import ALNUM, LOWER, U64, Lookup, mix, pack_sorted, unpack_sorted, words_of
-from ballast.shared import ship
+from ballast.shared import ship, stored
 
 SUBSETS = 32
 LOW, HIGH, LEAST_DOCS = 0.0005, 0.1, 2
@@ -86,24 +89,25 @@ class Printer:
     def __call__(self, texts: pa.Array) -> np.ndarray:
         """A row of 32 hashes for each text; 0: no term."""
         out = np.zeros((len(texts), SUBSETS), dtype=np.uint32)
-        if not len(self.terms):
-            return out
         for w in words_of(texts, ALNUM, LOWER):
             h = w.hashes()
             at = self.lookup(h)
-            if not len(at):
-                continue
-            key = np.unique(w.owner()[at] * np.int64(len(self.terms)) + np.searchsorted(self.terms, h[at]))  # terms of each text, distinct and sorted
-            text, term = key // len(self.terms), key % len(self.terms)
-            edge = np.searchsorted(text, np.arange(w.hi - w.lo + 1))
-            value, mask = mix(self.terms[term] + U64(1)), self.mask[term]
-            for s in range(SUBSETS):
-                sel = (mask >> np.uint32(s)) & np.uint32(1) > 0
-                count = np.concatenate(([0], np.cumsum(sel)))[edge]
-                total = np.concatenate((np.zeros(1, U64), np.cumsum(np.where(sel, value, U64(0)), dtype=U64)))[edge]
-                n = np.diff(count)
-                hashed = (mix(total[1:] - total[:-1] + n.astype(U64)) >> U64(32)).astype(np.uint32)
-                out[w.lo : w.hi, s] = np.where(n > 0, np.maximum(hashed, 1), 0)
+            if len(at):
+                key = np.unique(w.owner()[at] * np.int64(len(self.terms)) + np.searchsorted(self.terms, h[at]))  # terms of each text, distinct and sorted
+                text, term = key // len(self.terms), key % len(self.terms)
+                edge = np.searchsorted(text, np.arange(w.hi - w.lo + 1))
+                value, mask = mix(self.terms[term] + U64(1)), self.mask[term]
+                for s in range(SUBSETS):
+                    sel = (mask >> np.uint32(s)) & np.uint32(1) > 0
+                    count = np.concatenate(([0], np.cumsum(sel)))[edge]
+                    total = np.concatenate((np.zeros(1, U64), np.cumsum(np.where(sel, value, U64(0)), dtype=U64)))[edge]
+                    n = np.diff(count)
+                    hashed = (mix(total[1:] - total[:-1] + n.astype(U64)) >> U64(32)).astype(np.uint32)
+                    out[w.lo : w.hi, s] = np.where(n > 0, np.maximum(hashed, 1), 0)
+            for i in np.flatnonzero((w.counts > 0) & ~out[w.lo : w.hi].any(axis=1)).tolist():
+                every = np.unique(h[w.first[i] : w.first[i + 1]])
+                total = mix(every + U64(2)).sum(dtype=U64) + U64(len(every))
+                out[w.lo + i] = np.maximum(mix(total + np.arange(SUBSETS, dtype=U64)) >> U64(32), 1).astype(np.uint32)
         return out
 
 
@@ -131,106 +135,82 @@ def fingerprint_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return texts.mapInArrow(run, "doc_id long, fingerprint string")
 
 
-_OUT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+_OUT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("part", pa.int32()), ("end", pa.int32()), ("text", pa.string())])
+RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+OUT = RESULT + ", part int, end int, text string"
+#: Ends of a range: its first row, its last.
+HEAD, TAIL = 1, 2
 
 
-def _compared(table: pa.Table, guests: list[tuple[int, str]], printer: Printer) -> Iterator[pa.RecordBatch]:
-    """table: the documents of a range by descending id; guests: the one after the last."""
-    ids, texts = table.column("doc_id").to_pylist(), [t or "" for t in table.column("text").to_pylist()]
-    if guests:
-        texts.append(guests[0][1])
-    lo = 0
-    while lo < len(ids):
-        hi, size = lo, 0
-        while hi < len(ids) and size < 2_000_000:
-            size += len(texts[hi])
-            hi += 1
-        own, after = texts[lo:hi], texts[lo + 1 : hi + 1]
-        edited = [a[: len(a) - len(a) // 2] + b[: len(a) // 2] for a, b in zip(own, after, strict=True)]
-        prints = printer(pa.array(texts[lo : hi + 1], pa.string()))
-        changed = printer(pa.array(edited, pa.string()))
-        yield rows(_OUT, [None if i == -(2**63) else i for i in ids[lo:hi]], [len(x) for x in own], [hashlib.sha256(x.encode()).hexdigest() for x in edited], _hex(prints[:-1]), _hex(changed), likeness(prints[:-1], changed), likeness(prints[:-1], prints[1:]))
-        lo = hi
+def _compared(ids: list[int | None], texts: list[str], printer: Printer) -> pa.RecordBatch:
+    """Rows in order against the next each; texts has one more."""
+    own, after = texts[:-1], texts[1:]
+    edited = [a[: len(a) - len(a) // 2] + b[: len(a) // 2] for a, b in zip(own, after, strict=True)]
+    prints, changed = printer(pa.array(texts, pa.string())), printer(pa.array(edited, pa.string()))
+    none = [None] * len(own)
+    return rows(_OUT, ids, [len(x) for x in own], [hashlib.sha256(x.encode()).hexdigest() for x in edited], _hex(prints[:-1]), _hex(changed), likeness(prints[:-1], changed), likeness(prints[:-1], prints[1:]), none, none, none)
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    pack_text = zstandard.ZstdCompressor(level=1).compress
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([pack_text(x.as_buffer()) for x in batch.column(3)], pa.binary())], names=["doc_id", "head", "tie", "packed"])
 
 
 def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", range_bytes: int = 12 << 20) -> DataFrame:
     """Each document's fingerprint against that of its edited text and of the next document by descending id.
 
-    Ids are cut into ranges by approximate quantiles. Texts go to their range once, packed; of each range the document of
-    greatest id also goes to the range before it in that order's reverse, as the next of its last. Rows of one id are
-    ordered by text. A null id counts as the smallest.
+    Rows are ranged by descending id, rows of one id by their first 8 characters and then as they are read, so ranges are
+    even whatever ids repeat; a text moves once, packed. A range is streamed; its first and last row are kept, and the last
+    one's next is the first of the range after it, joined by number. The first range comes after the last.
     """
     spark = docs.sparkSession
     ship(spark)
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc_id"), F.col(text_col).alias("text"))
-    n, size, bottom, top = texts.agg(F.count("*"), F.sum(F.octet_length("text")), F.min("doc_id"), F.max("doc_id")).first()
-    if not n:
-        return spark.createDataFrame([], "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    n, size = texts.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     terms = spark.sparkContext.broadcast(lexicon(texts, "text", n, size or 0))
-    k = max(1, int((size or 0) // range_bytes))
-    cuts = sorted(set(texts.agg(F.percentile_approx("doc_id", [i / k for i in range(1, k)], 20 * k)).first()[0])) if k > 1 else []
-    edges = np.array(cuts, dtype=np.int64)
-
-    def greatest(batches):
-        best: dict[int, int] = {}
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            at = np.searchsorted(edges, ids, side="right")
-            for b in np.unique(at).tolist():
-                best[b] = max(best.get(b, -(2**63)), int(ids[at == b].max()))
-        yield pa.RecordBatch.from_pydict({"b": pa.array(list(best), pa.int32()), "m": pa.array(list(best.values()), pa.int64())})
-
-    tops = {r["b"]: r["m"] for r in texts.select("doc_id").mapInArrow(greatest, "b int, m long").groupBy("b").agg(F.max("m").alias("m")).collect()}
-    order = sorted(tops)
-    # the document of greatest id in a range comes next after the last one of the range above; the greatest of all after the very last
-    guest_of = {tops[b]: above for b, above in zip(order, [*order[1:], order[0]], strict=True)}
-    guest_ids = np.array(sorted(guest_of), dtype=np.int64)
-
-    def deal(batches):
-        # held until about 8 MB are there, so that a range's rows of this task are packed together
-        held, held_bytes = [], 0
-
-        def flush():
-            table = pa.Table.from_batches(held).combine_chunks()
-            ids = table.column("doc_id").to_numpy()
-            at = np.searchsorted(edges, ids, side="right")
-            for b in np.unique(at).tolist():
-                yield rows(ASKS, [b], [0], [write_texts(table.take(pa.array(np.flatnonzero(at == b))))])
-            for i in np.flatnonzero(np.isin(ids, guest_ids)).tolist():
-                yield rows(ASKS, [guest_of[int(ids[i])]], [1], [write_texts(table.slice(i, 1))])
-
-        for batch in batches:
-            held.append(batch)
-            held_bytes += batch.nbytes
-            if held_bytes > 24 << 20:
-                yield from flush()
-                held, held_bytes = [], 0
-        if held:
-            yield from flush()
+    keyed = texts.select("doc_id", F.substring("text", 1, 8).alias("head"), F.monotonically_increasing_id().alias("tie"), "text")
+    order = (F.desc_nulls_last("doc_id"), F.asc("head"), F.asc("tie"))
+    ranged = keyed.mapInArrow(_packed, "doc_id long, head string, tie long, packed binary").repartitionByRange(max(1, (size or 0) // range_bytes), *order).sortWithinPartitions(*order)
 
     def compare(batches):
-        printer = Printer(terms.value)
-        at, own, guests = None, [], []
+        printer, unpack_text = Printer(terms.value), zstandard.ZstdDecompressor().decompress
+        part, ids, held, before, first = TaskContext.get().partitionId(), [], [], 0, True
 
-        def done():
-            if own:
-                table = pa.concat_tables(own).combine_chunks()
-                yield from _compared(table.sort_by([("doc_id", "descending"), ("text", "ascending")]), [(i, t or "") for i, t in sorted(guests, key=lambda x: (x[1] is None, x[1] or ""))], printer)
+        def end(kind: int, i: int | None, text: str) -> pa.RecordBatch:
+            return rows(_OUT, [i], *[[None]] * 6, [part], [kind], [text])
 
         for batch in batches:
-            for part, kind, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                if part != at:
-                    yield from done()
-                    at, own, guests = part, [], []
-                table = read_texts(payload.as_buffer())
-                if kind:
-                    guests.extend(zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist(), strict=True))
-                else:
-                    own.append(table)
-        yield from done()
-
-    dealt = texts.mapInArrow(deal, ASK).repartition(max(1, len(order)), "part").sortWithinPartitions("part")
-    return dealt.mapInArrow(compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+            for i, packed in zip(batch.column(0).to_pylist(), batch.column(3), strict=True):
+                text = unpack_text(packed.as_buffer()).decode()
+                if first:
+                    yield end(HEAD, i, text)
+                    first = False
+                ids.append(i)
+                held.append(text)
+                before += len(text)
+                if before > 2_000_000 and len(ids) > 1:
+                    yield _compared(ids[:-1], held, printer)
+                    ids, held, before = ids[-1:], held[-1:], len(text)
+        if len(ids) > 1:
+            yield _compared(ids[:-1], held, printer)
+        if ids:
+            yield end(TAIL, ids[-1], held[-1])
+
+    def join_ends(batches):
+        printer = Printer(terms.value)
+        for batch in batches:
+            for i, text, after in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield _compared([i], [text, after], printer)
+
+    found = stored(ranged.mapInArrow(compare, OUT))
+    # one small row for each range that has rows
+    numbers = found.where(f"end = {HEAD}").select("part")
+    after = numbers.select("part", F.coalesce(F.lead("part").over(Window.orderBy("part")), F.min("part").over(Window.partitionBy())).alias("after"))
+    heads = found.where(f"end = {HEAD}").select(F.col("part").alias("after"), F.col("text").alias("next"))
+    tails = found.where(f"end = {TAIL}").join(after, "part").join(heads, "after").select("doc_id", "text", "next")
+    columns = [f.split()[0] for f in RESULT.split(", ")]
+    return found.where("end is null").select(*columns).unionByName(tails.mapInArrow(join_ends, OUT).select(*columns))
 
 
 def op2_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:

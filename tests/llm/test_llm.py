@@ -11,6 +11,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from oracle import SF, duck, rows  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
-from ballast.llm import bpe, decontaminate, graph, imatch, language, licenses, lm, nearsets, registry, repeats, simhash, tables, toxicity, urls  # noqa: E402
+from ballast.llm import bpe, decontaminate, graph, imatch, language, licenses, lm, nearsets, registry, repeats, simhash, tables, toxicity, urls, vec  # noqa: E402
 
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
 PASSAGE = " ".join(f"shared{i}" for i in range(30))
@@ -259,6 +260,51 @@ def test_imatch(spark, docs, none):
     assert all(prints[r["doc_id"]] == r["fingerprint"] for r in out)
 
 
+def test_imatch_equals_plain_fingerprints(spark):
+    """Fingerprints and likenesses by sets and loops: word hashes are the operator's, everything after them isn't."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.3, int(rng.integers(0, 60))) % 300) for _ in range(120)]
+    texts += [texts[3], texts[3].upper(), "uniqueone uniquetwo", "uniquetwo UNIQUEONE uniqueone", "uniquethree", "", None]
+    docs = [(int(rng.integers(0, 90)) if k % 10 else None, t) for k, t in enumerate(texts)]
+    out = imatch.compare_edited(spark.createDataFrame(docs, "doc_id long, text string"), range_bytes=700).collect()
+    df = Counter(w for _, t in docs for w in set((t or "").lower().split()))
+    mixed = lambda x: int(vec.mix(np.array([x % 2**64], np.uint64))[0])
+    hash_of = {w: int(next(vec.words_of(pa.array([w]), vec.ALNUM)).hashes()[0]) for w in df}
+    band = {w for w, c in df.items() if max(2, 0.0005 * len(docs)) <= c <= 0.1 * len(docs)}
+
+    def print_of(t):
+        words, slots = set((t or "").lower().split()), []
+        for s in range(32):
+            own = [w for w in words & band if mixed(hash_of[w] + (s + 1) * 0xD1342543DE82EF95) < int(2.0 ** -(2 + 2 * (s % 4)) * 2**64)]
+            slots.append(max(1, mixed(sum(mixed(hash_of[w] + 1) for w in own) + len(own)) >> 32) if own else 0)
+        if words and not any(slots):
+            total = sum(mixed(hash_of[w] + 2) for w in words) + len(words)
+            slots = [max(1, mixed(total + s) >> 32) for s in range(32)]
+        return slots
+
+    def like(a, b):
+        either = [(x, y) for x, y in zip(a, b, strict=True) if x or y]
+        return sum(x == y for x, y in either) / len(either) if either else 1.0
+
+    text_of = {}
+    for d, t in docs:
+        text_of.setdefault(d, Counter())[t or ""] += 1
+    hexed = lambda p: "".join(f"{x:08x}" for x in p)
+    assert Counter(r["doc_id"] for r in out) == Counter(d for d, _ in docs)
+    assert Counter(r["fingerprint"] for r in out) == Counter(hexed(print_of(t)) for _, t in docs)
+    ordered = sorted(((d, (t or "")[:8], k, t or "") for k, (d, t) in enumerate(docs)), key=lambda x: (x[0] is None, -(x[0] or 0), x[1], x[2]))
+    want = []
+    for k, (d, _, _, t) in enumerate(ordered):
+        n = ordered[(k + 1) % len(ordered)][3]
+        e = t[: len(t) - len(t) // 2] + n[: len(t) // 2]
+        # a word that an edit cut in two is in no document, so in no band
+        for w in e.lower().split():
+            hash_of.setdefault(w, int(next(vec.words_of(pa.array([w]), vec.ALNUM)).hashes()[0]))
+        want.append((d, len(t), hashlib.sha256(e.encode()).hexdigest(), hexed(print_of(t)), hexed(print_of(e)), round(like(print_of(t), print_of(e)), 9), round(like(print_of(t), print_of(n)), 9)))
+    got = Counter((r["doc_id"], r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in out)
+    assert got == Counter(want)
+
+
 def test_imatch_lexicon_is_the_band(spark):
     docs = spark.createDataFrame([(f"all a{i} b{i % 2} c{i // 3}",) for i in range(30)], "text string")
     kept = imatch.lexicon(docs, "text", 30, 100, low=0.1, high=0.6)
