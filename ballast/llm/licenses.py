@@ -2,7 +2,7 @@
 
 Templates are word sequences. The document frequency of every template word is counted over all documents; a template is
 posted under its word of highest inverse document frequency (ties: the earlier) and, as that one may be altered in a copy,
-under the rarest word of its mandatory key phrase, without which it can't count. Of each file only the words that have
+under the rarest word of its mandatory key phrase, without which it can't count: so no place that counts is without a posting. Of each file only the words that have
 postings are looked up; a word at position p and a posting at offset o propose the template at p - o. A place that only a
 key phrase's word proposes is reported if it counts. The words around
 are compared there by relative position: `coverage` is the share of the template's words that stand in their places. A
@@ -31,6 +31,11 @@ TEMPLATES = [
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "source and binary forms", False),
     ("apache", "licensed under the apache license version 2 0", "apache license", False),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "gnu general public license", False),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "this permission notice", False),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "endorse or promote products", False),
+    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", "on an as is basis", False),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose", "in the hope that it will be useful", False),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", "waived all copyright", False),
     ("lgpl", "gnu lesser general public license", None, False),
     ("agpl", "gnu affero general public license", None, False),
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license", False),
@@ -133,7 +138,7 @@ dw AS (SELECT doc_id, p, w FROM (SELECT doc_id, unnest(range(len(w))) p, unnest(
 df AS (SELECT tw.w, coalesce(any_value(c), 0) c FROM tw LEFT JOIN (SELECT w, count(DISTINCT doc_id) c FROM dw GROUP BY w) x ON x.w = tw.w GROUP BY tw.w),
 a AS (SELECT t, arg_min(o, (c, o)) o FROM tw JOIN df USING (w) GROUP BY t),
 h AS (SELECT doc_id, t, p - o pos, count(*) c, bool_or(o = (SELECT a.o FROM a WHERE a.t = tw.t)) anchored, count(*) FILTER (o >= ks AND o < ks + kn) kc FROM dw JOIN tw USING (w) GROUP BY ALL),
-f AS (SELECT doc_id, t.t, pos, label, base, phrase, h.c / t.n coverage, kc = kn AS key FROM h JOIN t USING (t) WHERE anchored),
+f AS (SELECT doc_id, t.t, pos, label, base, phrase, h.c / t.n coverage, kc = kn AS key FROM h JOIN t USING (t) WHERE anchored OR (kc = kn AND h.c / t.n >= {LEAST_COVERAGE})),
 s AS (SELECT doc_id, count(*) FILTER (base AND coverage = 1) n_base, min(pos) FILTER (base AND coverage = 1) first_word, max(pos) FILTER (base AND coverage = 1) last_word,
   string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base AND coverage = 1) base_labels,
   string_agg(DISTINCT label, ',' ORDER BY label) FILTER (CASE WHEN phrase THEN coverage = 1 ELSE key AND coverage >= {LEAST_COVERAGE} END) labels, max(coverage) score FROM f GROUP BY doc_id)
