@@ -78,6 +78,11 @@ def stored(df: DataFrame, **options: str) -> DataFrame:
     return out
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of what has been written and isn't referred to any more; else they stay until the driver happens to collect garbage."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(df: DataFrame) -> None:
     """Delete what `stored` has written for this very DataFrame, once its successor is written."""
     fs, path = _hadoop_path(df.sparkSession, df.stored_at)
