@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from ballast.llm.blocks import ANSWER, ANSWERS, ASK, ASKS, in_blocks, read_texts, rows, sizes, with_answers, write_texts
 from ballast.llm.tables import draw, weight_above
 from ballast.llm.vec import LOWER, SPACED, U64, pack, pack_sorted, unpack, unpack_sorted, words_of
-from ballast.shared import discard, stored
+from ballast.shared import discard, stored, tidy
 
 END = U64(0x9D39247E33776D41)
 #: Numbers that aren't words': an unknown word, and the start of a text as a context.
@@ -395,6 +395,7 @@ def _streams(docs: DataFrame, id_col: str, text_col: str, mod: int, held: int) -
     streams = stored(with_answers(blocks, numbered.where("block is not null").select("block", "kind", "payload"), n_tasks, number, "block long, payload binary"), **_BIG)
     discard(blocks)
     discard(numbered)
+    tidy(docs.sparkSession)
     return streams, n_tasks, tokens, types, Numbers(parts, ranks)
 
 
@@ -413,6 +414,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     asked = streams.mapInArrow(_each(_read_stream, ask), ASK).repartition(parts, "part")
     gathered = stored(asked.mapInArrow(_gathered, ROW), **_BIG)
+    tidy(docs.sparkSession)
     cells = gathered.where(f"kind = {CELLS}")
     counts = cells.select(*[F.sum(F.get("counts", F.lit(i))).alias(f"n{i}") for i in range(6)]).first()
     n1, n2, r1, r2, n, k = (x or 0.0 for x in counts)

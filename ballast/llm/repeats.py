@@ -1,7 +1,7 @@
 """Substring dedup with repeated-phrase automata.
 
-1. Each block of documents sends every distinct window of 13 words (its hash, the smallest document that has it, and
-   whether a second one does). A hash range confirms the windows that more than one document has and sends each block
+1. Each block of documents sends every distinct window of 13 words (its hash and 32 bits of a second one, the smallest
+   document that has it, and whether a second one does). A hash range confirms the windows that more than one document has and sends each block
    that needs them the smallest document of the whole corpus.
 2. In each block, maximal runs of recurring windows become phrases. They are compiled into sharded Aho-Corasick automata
    over the block's word numbers; all documents of the block are streamed through each automaton, and every occurrence of
@@ -14,7 +14,8 @@ A window that a third of all documents share costs one entry a block, in both di
 Defined results: a null or empty text has no words and an empty kept text; a text of fewer than 13 words is kept; white
 space of kept text is single spaces (but with `layout`); rows of one id count as one document and are each judged; rows of null id are kept whole
 and aren't the first of anything; other columns are ignored.
-Windows are told apart by 64-bit hashes in step 1, by words in step 2.
+Which windows recur is decided in step 1, by 96 bits of hash; the automata of step 2 work by word, block by block, and locate
+the occurrences of what step 1 confirmed.
 """
 
 from __future__ import annotations
@@ -30,7 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ballast.llm.blocks import ANSWER, ANSWERS, ASK, ASKS, in_blocks, read_texts, rows, sizes, with_answers
-from ballast.llm.vec import SPACED, U64, Words, grams, pack_sorted, unpack_sorted, whole, words_of
+from ballast.llm.vec import SPACED, U64, Words, checks, grams, pack_sorted, unpack_sorted, whole, words_of
+from ballast.shared import stored, tidy
 
 WINDOW = 13
 #: Words in the phrases of one automaton.
@@ -54,25 +56,25 @@ def _ids(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 def _ask(block: int, table: pa.Table, n: int, parts: int) -> Iterator[pa.RecordBatch]:
     ids, known = _ids(table)
-    hs, ds = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
-    for w, _, g, ok in _windows(table, n):
+    hs, xs, ds = [np.zeros(0, U64)], [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+    for w, words, g, ok in _windows(table, n):
         own = w.lo + w.owner()[: len(g)]
         ok = ok & known[own]
         hs.append(g[ok])
+        xs.append(checks(words, n)[ok])
         ds.append(ids[own[ok]])
-    h, d = np.concatenate(hs), np.concatenate(ds)
+    h, x, d = np.concatenate(hs), np.concatenate(xs), np.concatenate(ds)
     if not len(h):
         return
-    order = np.lexsort((d, h))
-    h, d = h[order], d[order]
-    new = np.append(True, h[1:] != h[:-1])
-    at = np.flatnonzero(new)
+    order = np.lexsort((d, x, h))
+    h, x, d = h[order], x[order], d[order]
+    at = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (x[1:] != x[:-1])))
     last = np.append(at[1:], len(h)) - 1
-    h, low, more = h[at], d[at], (d[last] != d[at]).astype(np.uint8)
+    h, x, low, more = h[at], x[at], d[at], (d[last] != d[at]).astype(np.uint8)
     base = int(low.min())
     part = _part(h, parts)
     cut = np.searchsorted(part, np.arange(parts + 1))
-    own = [(p, pack_sorted(h[a:b], low[a:b] - base, more[a:b]) + np.int64(base).tobytes()) for p, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if a < b]
+    own = [(p, pack_sorted(h[a:b], x[a:b], low[a:b] - base, more[a:b]) + np.int64(base).tobytes()) for p, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if a < b]
     yield rows(ASKS, [p for p, _ in own], [block] * len(own), [x for _, x in own])
 
 
@@ -83,33 +85,52 @@ def _part(h: np.ndarray, parts: int) -> np.ndarray:
 
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Windows in more than one document, to the blocks where a document other than the first has them."""
-    blocks, hs, lows, mores = [], [], [], []
+    blocks, hs, xs, lows, mores = [], [], [], [], []
     for batch in batches:
         for block, payload in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
             data = payload.as_buffer().to_pybytes()
-            h, low, more = unpack_sorted(data[:-8])
+            h, x, low, more = unpack_sorted(data[:-8])
             blocks.append(np.full(len(h), block))
             hs.append(h)
+            xs.append(x)
             lows.append(low + np.frombuffer(data[-8:], np.int64)[0])
             mores.append(more)
     if not hs:
         return
-    h = np.concatenate(hs)
+    h, x = np.concatenate(hs), np.concatenate(xs)
     order = np.argsort(h, kind="stable")
-    h = h[order]
-    block, low, more = (np.concatenate(x)[order] for x in (blocks, lows, mores))
-    at = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+    same = h[order][1:] == h[order][:-1]
+    if (same & (x[order][1:] != x[order][:-1])).any():  # windows that only the second hash tells apart
+        order = np.lexsort((x, h))
+    h, x = h[order], x[order]
+    block, low, more = (np.concatenate(v)[order] for v in (blocks, lows, mores))
+    at = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (x[1:] != x[:-1])))
     first = np.repeat(np.minimum.reduceat(low, at), np.diff(np.append(at, len(h))))
     need = np.flatnonzero((low > first) | (more > 0))
     need = need[np.argsort(block[need], kind="stable")]
-    h, block, first = h[need], block[need], first[need]
+    h, x, block, first = h[need], x[need], block[need], first[need]
     ends = np.flatnonzero(np.append(block[1:] != block[:-1], True)) + 1 if len(block) else []
     a = 0
     for b in ends:
-        yield rows(ANSWERS, [int(block[a])], [0], [pack_sorted(h[a:b], first[a:b])])
+        yield rows(ANSWERS, [int(block[a])], [0], [pack_sorted(h[a:b], x[a:b], first[a:b])])
         a = b
 
 
+def _found(keys: np.ndarray, bits: np.ndarray, g: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Place of each window (hash, second hash) among sorted answers, or -1."""
+    at = np.searchsorted(keys, g)
+    out = np.full(len(g), -1, dtype=np.int64)
+    left = np.arange(len(g))
+    while len(left):  # more than once only where a first hash stands for several windows
+        left = left[at[left] < len(keys)]
+        left = left[keys[at[left]] == g[left]]
+        hit = bits[at[left]] == x[left]
+        out[left[hit]] = at[left[hit]]
+        left = left[~hit]
+        at[left] += 1
+    return out
+
+
 def _covered(texts: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], n: int) -> dict[int, np.ndarray]:
     """texts: (number, word numbers, first document of each window or -1, own document). Words to remove, for texts that have any.
 
@@ -172,15 +193,15 @@ def without(text: bytes, spans: list[dict[str, int]]) -> bytes:
 
 def _finish(table: pa.Table, payloads: list[bytes], n: int, layout: bool = False) -> Iterator[pa.RecordBatch]:
     found = [unpack_sorted(p) for p in payloads]
-    keys, firsts = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, U64), np.zeros(0, np.int64))
+    keys, bits, firsts = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, U64), np.zeros(0, np.uint32), np.zeros(0, np.int64))
     order = np.argsort(keys, kind="stable")
-    keys, firsts = keys[order], firsts[order]
+    keys, bits, firsts = keys[order], bits[order], firsts[order]
     (docs, known), names, runs = _ids(table), [], []
     for w, h, g, ok in _windows(table, n):
         first = np.full(len(h), -1, dtype=np.int64)
         if len(g) and len(keys):
-            at = np.minimum(np.searchsorted(keys, g), len(keys) - 1)
-            first[: len(g)] = np.where((keys[at] == g) & ok, firsts[at], -1)
+            at = _found(keys, bits, g, checks(h, n))
+            first[: len(g)] = np.where((at >= 0) & ok, firsts[at], -1)
         names.append(h)
         runs.extend((w.lo + i, int(w.first[i]), int(w.first[i + 1]), first[w.first[i] : max(w.first[i], w.first[i + 1] - n + 1)], len(names) - 1) for i in range(w.hi - w.lo))
     every = np.unique(np.concatenate(names)) if names else np.zeros(0, U64)
@@ -230,7 +251,8 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield from _ask(block, read_texts(payload.as_buffer()), window, parts)
 
     asked = blocks.select("block", "payload").mapInArrow(ask, ASK).repartition(parts, "part")
-    answers = asked.mapInArrow(_answer, ANSWER)
+    answers = stored(asked.mapInArrow(_answer, ANSWER))
+    tidy(docs.sparkSession)  # the asks are the larger part of what is exchanged
     return with_answers(blocks, answers, max(8, size // (10 << 20)), lambda _, table, held: _finish(table, held, window, layout), REPEATS + "".join(f", keep{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)))
 
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 import zstandard
 
 U64 = np.uint64
-_B, _B2 = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
+_B, _B2, _B3 = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5
 _CHUNK = 1 << 20
 
 
@@ -132,11 +132,11 @@ def words_of(column: pa.Array, accept: np.ndarray, fold: np.ndarray = SAME, chun
         lo = hi
 
 
-def grams(h: np.ndarray, n: int) -> np.ndarray:
+def grams(h: np.ndarray, n: int, base: int = _B2) -> np.ndarray:
     """Hash of each n consecutive word hashes (it runs over text ends; see `whole`)."""
     if len(h) < n:
         return np.zeros(0, dtype=U64)
-    power, inverse = _power(_B2, len(h) + 1)
+    power, inverse = _power(base, len(h) + 1)
     total = np.zeros(len(h) + 1, dtype=U64)
     np.cumsum(h * power[: len(h)], out=total[1:])
     out = (total[n:] - total[:-n]) * inverse[: len(h) - n + 1]
@@ -144,6 +144,11 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
+def checks(h: np.ndarray, n: int) -> np.ndarray:
+    """32 bits more for each n-gram, of words hashed anew and of another base."""
+    return (grams(mix(h + U64(0x2545F4914F6CDD1D)), n, _B3) >> U64(32)).astype(np.uint32)
+
+
 def whole(w: Words, n: int) -> np.ndarray:
     """Which n-grams of words lie within one text."""
     total = len(w.starts)

@@ -78,6 +78,19 @@ def test_repeats_in_small_shards(monkeypatch):
     assert cut[0].all() and 1 not in cut
 
 
+def test_windows_that_share_a_first_hash_are_told_apart(monkeypatch):
+    keys, bits = np.array([3, 3, 3, 9], np.uint64), np.array([7, 5, 6, 1], np.uint32)
+    g, x = np.array([3, 3, 9, 9, 2, 11], np.uint64), np.array([6, 8, 1, 2, 7, 1], np.uint32)
+    assert repeats._found(keys, bits, g, x).tolist() == [2, -1, 3, -1, -1, -1]
+    # every window of a block under one first hash: the second one decides
+    monkeypatch.setattr(repeats, "grams", lambda h, n: np.zeros(max(0, len(h) - n + 1), np.uint64))
+    table = pa.table({"doc_id": [1, 2, 3], "text": [PASSAGE, f"before {PASSAGE}", " ".join(f"z{i}" for i in range(20))]})
+    asks = list(repeats._ask(4, table, 13, 2))
+    answers = [x for b in repeats._answer(iter([a for a in asks])) for x in b.column(2).to_pylist()]
+    got = [r for b in repeats._finish(table, answers, 13) for r in b.to_pylist()]
+    assert [(r["doc_id"], r["n_removed"], r["kept"]) for r in got] == [(1, 0, PASSAGE), (2, 30, "before"), (3, 0, table["text"][2].as_py())]
+
+
 def test_repeats_with_layout(docs):
     laid = repeats.cut_repeats(docs, layout=True).collect()
     texts = Counter(t for _, t, *_ in DOCS)
