@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import os
 import tempfile
+import time
 import uuid
 import zipfile
 
@@ -79,8 +80,13 @@ def stored(df: DataFrame, **options: str) -> DataFrame:
 
 
 def tidy(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove the shuffle files of what has been written and isn't referred to any more; else they stay until the driver happens to collect garbage."""
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark's cleaner remove the shuffle files of what has been written and isn't referred to any more; else they stay until the driver happens to collect garbage.
+
+    The first collection frees the finished query, whose stages then are what the second one frees.
+    """
+    for _ in range(2):
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def discard(df: DataFrame) -> None:
