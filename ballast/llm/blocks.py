@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ballast.shared import ship, stored
 
 BLOCK_BYTES = 12 << 20
-_IPC = pa.ipc.IpcWriteOptions(compression="zstd")
+_IPC = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))
 
 
 def write_texts(table: pa.Table) -> bytes:

@@ -1,6 +1,6 @@
 """Substring dedup with repeated-phrase automata.
 
-1. Each block of documents sends every distinct window of 13 words (its hash and 32 bits of a second one, the smallest
+1. Each block of documents sends every distinct window of 13 words (its hash and 24 bits of a second one, the smallest
    document that has it, and whether a second one does). A hash range confirms the windows that more than one document has and sends each block
    that needs them the smallest document of the whole corpus.
 2. In each block, maximal runs of recurring windows become phrases. They are compiled into sharded Aho-Corasick automata
@@ -14,7 +14,7 @@ A window that a third of all documents share costs one entry a block, in both di
 Defined results: a null or empty text has no words and an empty kept text; a text of fewer than 13 words is kept; white
 space of kept text is single spaces (but with `layout`); rows of one id count as one document and are each judged; rows of null id are kept whole
 and aren't the first of anything; other columns are ignored.
-Which windows recur is decided in step 1, by 96 bits of hash; the automata of step 2 work by word, block by block, and locate
+Which windows recur is decided in step 1, by 88 bits of hash; the automata of step 2 work by word, block by block, and locate
 the occurrences of what step 1 confirmed.
 """
 

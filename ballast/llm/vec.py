@@ -145,8 +145,8 @@ def grams(h: np.ndarray, n: int, base: int = _B2) -> np.ndarray:
 
 
 def checks(h: np.ndarray, n: int) -> np.ndarray:
-    """32 bits more for each n-gram, of words hashed anew and of another base."""
-    return (grams(mix(h + U64(0x2545F4914F6CDD1D)), n, _B3) >> U64(32)).astype(np.uint32)
+    """24 bits more for each n-gram, of words hashed anew and of another base."""
+    return (grams(mix(h + U64(0x2545F4914F6CDD1D)), n, _B3) >> U64(40)).astype(np.uint32)
 
 
 def whole(w: Words, n: int) -> np.ndarray:
