@@ -69,11 +69,32 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root}/{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, **options: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts the lineage, and survives lost executors."""
+#: Bytes that a file of a written table should have.
+FILE_BYTES = 32 << 20
+
+
+def compact(df: DataFrame, rows_are_small: bool = False) -> DataFrame:
+    """df in at most four partitions a core, or one for each FILE_BYTES that Spark expects if that is more.
+
+    So a small table doesn't end up as very many files. Each file costs processes: where Hadoop's native code is missing, a
+    JVM forks one to set a file's mode, and until that one runs its own program the JVM's memory counts twice.
+    rows_are_small: rows are a few numbers, and what Spark expects (the product of a join's sides) isn't asked.
+    """
+    n = 4 * df.sparkSession.sparkContext.defaultParallelism
+    if not rows_are_small:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        n = max(n, size // FILE_BYTES)
+    return df.coalesce(min(n, 2**31 - 1))
+
+
+def stored(df: DataFrame, rows_are_small: bool = False, as_it_is: bool = False, **options: str) -> DataFrame:
+    """Write a table to the shared folder and read it back: cuts the lineage, and survives lost executors.
+
+    as_it_is: don't make it compact, because its rows hold the number of the task that makes them.
+    """
     spark = df.sparkSession
     path = shared_dir(spark)
-    df.write.options(**options).parquet(path)
+    (df if as_it_is else compact(df, rows_are_small)).write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
