@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ballast.shared import ship, stored
+from ballast.shared import compact, ship, stored
 
 BLOCK_BYTES = 12 << 20
 _IPC = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))
@@ -62,8 +62,9 @@ def in_blocks(docs: DataFrame, id_col: str, text_col: str, limit: int = BLOCK_BY
     """Columns `keep` come along as keep0, keep1 and so on. Write (block, n_bytes, n_docs, payload) to the shared folder; a block has about `limit` bytes of text, or one longer text."""
     ship(docs.sparkSession)
     small = {"compression": "uncompressed", "parquet.block.size": str(32 << 20), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "8", "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "8", "parquet.enable.dictionary": "false"}
-    packed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"keep{i}") for i, c in enumerate(keep)]).mapInArrow(lambda b: _blocks(b, limit), "block long, n_bytes long, n_docs long, payload binary")
-    return stored(packed, **small)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"keep{i}") for i, c in enumerate(keep)])
+    packed = compact(texts).mapInArrow(lambda b: _blocks(b, limit), "block long, n_bytes long, n_docs long, payload binary")
+    return stored(packed, as_it_is=True, **small)
 
 
 ANSWER = "block long, kind int, payload binary"

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ballast.llm.vec import ALNUM, LOWER, U64, Words, grams, mix, whole, words_of
-from ballast.shared import ship, stored
+from ballast.shared import compact, ship, stored
 
 SPAN, K = 10, 5
 #: Bytes of the table of fingerprints, a power of two.
@@ -151,7 +151,7 @@ def _found(docs: DataFrame, tests: DataFrame, item_col: str, item_text_col: str,
         bits |= np.frombuffer(r["bits"], np.uint8)
         lengths.add(r["n"])
     shared = spark.sparkContext.broadcast(Prints(bits, sorted(lengths), span, k))
-    found = stored(docs.mapInArrow(lambda b: _scan(b, shared.value), FOUND))
+    found = stored(compact(docs).mapInArrow(lambda b: _scan(b, shared.value), FOUND), as_it_is=True)
     occurs = found.where("n is not null").select("row", "first", "n", "window").join(windows, ["n", "window"]).select("row", "first", "n", "item")
     return found.where("n is null").select("row", "doc_id", "n_words"), occurs
 
@@ -182,7 +182,7 @@ def drop_leaks(docs: DataFrame, tests: DataFrame, text_col: str = "text", item_c
         row += "_"
     kept = stored(docs.withColumn(row, F.monotonically_increasing_id()))
     _, occurs = _found(kept.select(F.lit(None).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(row).alias("row")), tests, item_col, item_text_col, span, k, table)
-    hit = stored(occurs.select(F.col("row").alias(row)).distinct())
+    hit = stored(occurs.select(F.col("row").alias(row)).distinct(), True)
     few = hit.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     return kept.join(F.broadcast(hit) if few else hit, row, "left_anti").select(*docs.columns)
 

@@ -203,7 +203,7 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for i, text, after in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 yield _compared([i], [text, after], printer)
 
-    found = stored(ranged.mapInArrow(compare, OUT))
+    found = stored(ranged.mapInArrow(compare, OUT), as_it_is=True)
     # one small row for each range that has rows
     numbers = found.where(f"end = {HEAD}").select("part")
     after = numbers.select("part", F.coalesce(F.lead("part").over(Window.orderBy("part")), F.min("part").over(Window.partitionBy())).alias("after"))

@@ -175,7 +175,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     joined = components(by_key.unionByName(equal).unionByName(by_print))
     joined = joined.join(classes, joined["node"] == classes["same"]).select("same", "component", "first")
     sizes = joined.groupBy("component").agg(F.count("*").alias("size"))
-    joined = stored(joined.join(sizes, "component"))
+    joined = stored(joined.join(sizes, "component"), True)
 
     def with_sets(some: DataFrame) -> DataFrame:
         """some (same, first, ...) with the classes' sets: of the rows of their first ids, and of rows without an id."""
@@ -187,16 +187,16 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         pairs = members.select("key", "same", "items").repartition(n, "key").sortWithinPartitions("key")
         return pairs.mapInArrow(lambda b: _verified(b, least), "a long, b long")
 
-    links = stored(verified(with_sets(joined.where(f"size <= {group}").withColumn("key", F.col("component")))))
+    links = stored(verified(with_sets(joined.where(f"size <= {group}").withColumn("key", F.col("component")))), True)
     hot = joined.where(f"size > {group}")
     if not hot.isEmpty():
         links = links.unionByName(_hot_links(hot, classes, with_sets, verified, n, least, group))
 
     parts = components(links)
-    named = stored(parts.join(classes, parts["node"] == classes["same"]).select("node", "component", "first"))
+    named = stored(parts.join(classes, parts["node"] == classes["same"]).select("node", "component", "first"), True)
     least_id = named.groupBy("component").agg(F.min("first").alias("component_id"))
     linked_same = named.join(least_id, "component").select(F.col("node").alias("same"), "component_id")
-    all_same = stored(classes.join(linked_same, "same", "left").select("same", F.coalesce("component_id", "first").alias("component_id")))
+    all_same = stored(classes.join(linked_same, "same", "left").select("same", F.coalesce("component_id", "first").alias("component_id")), True)
     return sketches.select("doc_id", "same").join(all_same, "same").select("doc_id", "component_id")
 
 
@@ -213,11 +213,11 @@ def _hot_links(hot: DataFrame, classes: DataFrame, with_sets, verified, n: int,
     members = pairs.join(salts, "leader").withColumn("salt", F.pmod(F.xxhash64("same"), F.col("salts")).cast("int")).join(sets, "same").select("leader", "salt", F.lit(1).alias("kind"), "same", "items")
     own = salts.withColumn("salt", F.explode(F.expr("sequence(0, salts - 1)"))).withColumn("same", F.col("leader")).join(sets, "same").select("leader", "salt", F.lit(0).alias("kind"), "same", "items")
     led = members.unionByName(own).repartition(n, "leader", "salt").sortWithinPartitions("leader", "salt", "kind")
-    first = stored(led.mapInArrow(lambda b: _led(b, least), "a long, b long"))
+    first = stored(led.mapInArrow(lambda b: _led(b, least), "a long, b long"), True)
 
     # the rest of each against all of it
     parts = components(first).withColumnRenamed("node", "same").withColumnRenamed("component", "part")
-    marked = stored(sets.select("same", "component").join(parts, "same", "left").withColumn("part", F.coalesce("part", "same")))
+    marked = stored(sets.select("same", "component").join(parts, "same", "left").withColumn("part", F.coalesce("part", "same")), True)
     counts = marked.groupBy("component", "part").agg(F.count("*").alias("c"))
     main = counts.groupBy("component").agg(F.max_by("part", "c").alias("main"), F.sum("c").alias("all"), F.max("c").alias("most")).withColumn("outside", F.col("all") - F.col("most"))
     marked = marked.join(main.select("component", "main", "outside"), "component").where("outside > 0")
@@ -233,4 +233,4 @@ def _hot_links(hot: DataFrame, classes: DataFrame, with_sets, verified, n: int,
     dealt = units.join(deal, "key").withColumn("own", F.when(F.col("rest") == 1, F.pmod(F.xxhash64("same"), F.col("r"))).otherwise(F.col("r") + F.pmod(F.xxhash64("same"), F.col("m"))).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, if(rest = 1, r + m - 1, r - 1))")))
     met = dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "same").distinct()
-    return first.unionByName(stored(verified(met.join(sets, "same"))))
+    return first.unionByName(stored(verified(met.join(sets, "same")), True))

@@ -197,7 +197,7 @@ def near_links(prints: DataFrame, bits: int = BITS, group: int = GROUP) -> DataF
     ship(spark)
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     keys = prints.select("fp").distinct().mapInArrow(_index, "key long, fp long")
-    found = stored(keys.repartition(n, "key").sortWithinPartitions("key", "fp").mapInArrow(lambda b: _links(b, bits, group), "a long, b long, hot long"))
+    found = stored(keys.repartition(n, "key").sortWithinPartitions("key", "fp").mapInArrow(lambda b: _links(b, bits, group), "a long, b long, hot long"), True)
     links = found.where("hot is null").select("a", "b").distinct()
     hot = found.where("hot is not null").select(F.col("a").alias("key"), F.col("b").alias("fp"))
     if hot.isEmpty():
@@ -223,11 +223,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     links = near_links(prints, bits)
     parts = components(links)
-    named = stored(parts.join(classes, parts["node"] == classes["fp"]).select("node", "component", "first"))
+    named = stored(parts.join(classes, parts["node"] == classes["fp"]).select("node", "component", "first"), True)
     low = named.groupBy("component").agg(F.min("first").alias("component_id"))
     linked_fp = named.join(low, "component").select(F.col("node").alias("fp"), "component_id")
     # written, so that the last join is of two plain exchanges and Spark can split a fingerprint that very many rows have
-    all_fp = stored(classes.join(linked_fp, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id")))
+    all_fp = stored(classes.join(linked_fp, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id")), True)
     return prints.join(all_fp, "fp").select("doc_id", "fp", "component_id")
 
 
