@@ -10,19 +10,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ballast.llm import bpe, decontaminate, nearsets, repeats, toxicity
-from ballast.shared import discard, stored
+from ballast.shared import compact, discard, stored
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score of 0.5 or more go."""
-    return toxicity.reject_toxic(docs, toxicity.training_labels(spark, sf_dir))
+    return compact(toxicity.reject_toxic(docs, toxicity.training_labels(spark, sf_dir)))
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (Jaccard similarity of five-word shingles >= 0.8) the document of smallest id stays (rows of that id all stay, as do those without an id)."""
     groups = nearsets.near_copies(docs.select("doc_id", "text"))
     gone = groups.where("doc_id is not null").groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("first")).where("not first").select("doc_id")
-    return nearsets.only(docs, stored(gone), "left_anti")
+    return nearsets.only(compact(docs), stored(gone, True), "left_anti")
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
