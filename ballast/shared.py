@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import tempfile
 import time
 import uuid
 import zipfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
@@ -37,6 +39,22 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+#: What clears the caches that Python workers keep between tasks; operators add to it.
+CACHES: list = []
+
+
+def make_room(but: object = None) -> None:
+    """In a Python worker, at the start of a task: drop what tasks of other operators (all but the cache `but`) have left, and give freed memory back."""
+    for clear in CACHES:
+        if clear is not but:
+            clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library: it keeps what it likes
+        pass
+
+
 def _hadoop_path(spark: SparkSession, path: str):
     jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jpath
