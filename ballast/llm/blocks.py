@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ballast.shared import compact, ship, stored
+from ballast.shared import compact, make_room, ship, stored
 
 BLOCK_BYTES = 12 << 20
 _IPC = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))
@@ -33,6 +33,7 @@ def read_texts(data: bytes) -> pa.Table:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    make_room()
     task, seq, held, size = TaskContext.get().partitionId(), 0, [], 0
 
     def flush():
@@ -82,6 +83,7 @@ def with_answers(blocks: DataFrame, answers: DataFrame, n: int, finish: Callable
     both = blocks.select("block", F.lit(1 << 20).alias("kind"), "payload").unionByName(answers)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         at, held = None, []
         for batch in batches:
             for block, kind, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):

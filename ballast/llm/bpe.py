@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ballast.shared import ship
+from ballast.shared import CACHES, make_room, ship
 
 #: Pieces whose ids a worker keeps.
 KNOWN = 400_000
@@ -171,6 +171,8 @@ class Replay:
 
 
 _made: dict[tuple[str, str], Replay] = {}
+_forget = _made.clear
+CACHES.append(_forget)
 
 
 def _replay(path: str, pattern: str) -> Replay:
@@ -183,6 +185,7 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.b
 
 
 def _run(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
+    make_room(_forget)
     replay = _replay(path, pattern)
     for batch in batches:
         for lo in range(0, batch.num_rows, 1000):

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ballast.llm.vec import ALNUM, LOWER, U64, Words, grams, mix, whole, words_of
-from ballast.shared import compact, ship, stored
+from ballast.shared import compact, make_room, ship, stored
 
 SPAN, K = 10, 5
 #: Bytes of the table of fingerprints, a power of two.
@@ -124,6 +124,7 @@ FOUND = "row long, doc_id long, n_words long, first long, n int, window binary"
 
 def _scan(batches: Iterator[pa.RecordBatch], prints: Prints) -> Iterator[pa.RecordBatch]:
     """Of each document row (row, doc_id, n_words); of each window around a fingerprint (row, first, n, window). A third column of a batch is the row number."""
+    make_room()
     row = TaskContext.get().partitionId() << 33
     for batch in batches:
         own = batch.column(2).to_numpy() if batch.num_columns > 2 else np.arange(row, row + batch.num_rows)

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from ballast.llm.blocks import ANSWER, ANSWERS, ASK, ASKS, in_blocks, read_texts, rows, sizes, with_answers, write_texts
 from ballast.llm.tables import draw, weight_above
 from ballast.llm.vec import LOWER, SPACED, U64, pack, pack_sorted, unpack, unpack_sorted, words_of
-from ballast.shared import discard, stored, tidy
+from ballast.shared import discard, make_room, stored, tidy
 
 END = U64(0x9D39247E33776D41)
 #: Numbers that aren't words': an unknown word, and the start of a text as a context.
@@ -108,6 +108,7 @@ def _context(codes: np.ndarray) -> np.ndarray:
 
 def _by_part(batches: Iterator[pa.RecordBatch]) -> dict[int, list[tuple]]:
     """Rows (part, ...) by part, and in order of their second column."""
+    make_room()
     found: dict[int, list[tuple]] = {}
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):

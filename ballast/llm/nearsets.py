@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ballast.llm.graph import components
 from ballast.llm.simhash import SEED, fingerprint, near_links, shingle_hashes
-from ballast.shared import ship, stored
+from ballast.shared import make_room, ship, stored
 
 SHINGLE, LEAST, BANDS, ROWS, GROUP = 5, 0.8, 32, 6, 512
 #: Keys by which members of large groups meet leaders; members that a leader's task compares; ids that are broadcast at most.
@@ -71,6 +71,7 @@ def _sets_of(batch: pa.RecordBatch, at: int, n: int) -> Iterator[np.ndarray]:
 
 
 def _sketched(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    make_room()
     for batch in batches:
         same, fps, keys = [], [], []
         for t in batch.column(1):
@@ -83,6 +84,7 @@ def _sketched(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBa
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    make_room()
     for batch in batches:
         for lo in range(0, batch.num_rows, 256):
             sets = list(_sets_of(batch.slice(lo, 256), 0, n))
@@ -114,6 +116,7 @@ def linked(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
 
 def _verified(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     """Rows (key, same, items) come sorted by key."""
+    make_room()
     held_key, held = None, {}
 
     def links() -> Iterator[pa.RecordBatch]:
@@ -134,6 +137,7 @@ def _verified(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Re
 
 def _led(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     """Rows (leader, salt, kind, same, items) come sorted, a leader's own set first."""
+    make_room()
     leader, own = None, np.zeros(0, np.uint64)
     for batch in batches:
         links = []

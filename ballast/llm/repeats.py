@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ballast.llm.blocks import ANSWER, ANSWERS, ASK, ASKS, in_blocks, read_texts, rows, sizes, with_answers
 from ballast.llm.vec import SPACED, U64, Words, checks, grams, pack_sorted, unpack_sorted, whole, words_of
-from ballast.shared import stored, tidy
+from ballast.shared import make_room, stored, tidy
 
 WINDOW = 13
 #: Words in the phrases of one automaton.
@@ -85,6 +85,7 @@ def _part(h: np.ndarray, parts: int) -> np.ndarray:
 
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Windows in more than one document, to the blocks where a document other than the first has them."""
+    make_room()
     blocks, hs, xs, lows, mores = [], [], [], [], []
     for batch in batches:
         for block, payload in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
@@ -246,6 +247,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     parts = max(8, size // RANGE_BYTES)
 
     def ask(batches):
+        make_room()
         for batch in batches:
             for block, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 yield from _ask(block, read_texts(payload.as_buffer()), window, parts)

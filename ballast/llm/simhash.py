@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ballast.llm.graph import components
-from ballast.shared import ship, stored
+from ballast.shared import make_room, ship, stored
 
 SHINGLE, BITS, SEED, GROUP = 3, 3, 42, 2048
 
@@ -61,6 +61,7 @@ _PRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    make_room()
     for batch in batches:
         fps = np.array([fingerprint(shingle_hashes(t.as_buffer().to_pybytes(), n)) if t.is_valid else 0 for t in batch.column(1)], dtype=np.uint64)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], schema=_PRINTS)
@@ -96,6 +97,7 @@ def bit_of(keys: np.ndarray, fps: np.ndarray) -> np.ndarray:
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    make_room()
     for batch in batches:
         for lo in range(0, batch.num_rows, 4096):
             keys, fps = variants(batch.column(0).slice(lo, 4096).to_numpy().view(np.uint64))
@@ -151,6 +153,7 @@ def _links(batches: Iterator[pa.RecordBatch], bits: int, group: int | None, wild
     def members(key: int, fps: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(fps), key)), pa.array(fps), pa.array(np.ones(len(fps), np.int64))], schema=_LINKS)
 
+    make_room()
     none = np.zeros(0, np.int64)
     held_keys, held_fps, hot = none, none, None  # rows of the last key, and that key if its rows are passed on
     for batch in batches:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ballast.llm.vec import U64, mix, powers
-from ballast.shared import ship, stored
+from ballast.shared import make_room, ship, stored
 
 SAMPLE, LEAST, LEAST_SHARE, LEAST_WEIGHT, SHORTEST = 50_000, 5, 0.002, 3.5, 3
 #: Phrases in which a word of the lexicon does no harm.
@@ -131,6 +131,7 @@ def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _texts(batches: Iterator[pa.RecordBatch], labels: dict[int, int]) -> Iterator[pa.RecordBatch]:
+    make_room()
     for batch in batches:
         ids, out = batch.column(0).to_pylist(), ([], [], [], [])
         for i in [k for k, d in enumerate(ids) if d in labels]:
@@ -142,21 +143,32 @@ def _texts(batches: Iterator[pa.RecordBatch], labels: dict[int, int]) -> Iterato
         yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.string())], names=["doc_id", "toxic", "key", "words"])
 
 
+def _parts(lines: list[str], size: int = 200_000) -> Iterator[slice]:
+    """Slices of the lines that have about `size` letters each, or one longer line."""
+    lo = at = 0
+    for i, x in enumerate(lines):
+        at += len(x) + 1
+        if at >= size:
+            yield slice(lo, i + 1)
+            lo, at = i + 1, 0
+    if lo < len(lines):
+        yield slice(lo, len(lines))
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a batch that have each candidate; Spark adds the batches up before it exchanges them."""
-    for batch in batches:
-        h, owner, _, _, _ = candidates(batch.column(1).to_pylist())
+    """Rows of some lines that have each candidate; Spark adds them up before it exchanges them."""
+    make_room()
+    for labels, lines in ((b.column(0).to_numpy()[s], x[s]) for b in batches for x in [b.column(1).to_pylist()] for s in _parts(x)):
+        h, owner, _, _, _ = candidates(lines)
         once = np.unique(mix(h + owner.astype(U64) * U64(0x9E3779B97F4A7C15)), return_index=True)[1]
         terms, at = np.unique(h[once], return_inverse=True)
-        toxic = batch.column(0).to_numpy()[owner[once]]
-        n, bad = np.bincount(at, minlength=len(terms)), np.bincount(at, toxic, minlength=len(terms)).astype(np.int64)
+        n, bad = np.bincount(at, minlength=len(terms)), np.bincount(at, labels[owner[once]], minlength=len(terms)).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(bad), pa.array(n - bad)], names=["term", "toxic", "other"])
 
 
 def _spelled(batches: Iterator[pa.RecordBatch], wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
     """(term, word) of the wanted hashes (sorted); a whole word ends with a space."""
-    for batch in batches:
-        lines = batch.column(0).to_pylist()
+    for lines in (x[s] for b in batches for x in [b.column(0).to_pylist()] for s in _parts(x)):
         h, _, first, last, whole = candidates(lines)
         at = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
         hit = np.flatnonzero(wanted[at] == h)
@@ -205,6 +217,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches):
+        make_room()
         lexicon = Lexicon(shared.value, exceptions)
         for batch in batches:
             total, n = np.zeros(batch.num_rows), np.zeros(batch.num_rows, dtype=np.int64)
@@ -224,6 +237,7 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     shared, at = docs.sparkSession.sparkContext.broadcast(weights), docs.columns.index(text_col)
 
     def run(batches):
+        make_room()
         lexicon = Lexicon(shared.value, EXCEPTIONS)
         for batch in batches:
             words = (folded(t.as_py()) for t in batch.column(at))

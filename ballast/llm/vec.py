@@ -15,7 +15,7 @@ import zstandard
 
 U64 = np.uint64
 _B, _B2, _B3 = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 
 
 def _table(accept) -> np.ndarray:
