@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from ballast.shared import CACHES, make_room, ship
 
-#: Pieces whose ids a worker keeps.
-KNOWN = 400_000
+#: Pieces whose ids a worker keeps, and pairs of tokens whose rank it keeps.
+KNOWN, PAIRS = 250_000, 250_000
 
 
 class Replay:
@@ -143,8 +143,8 @@ class Replay:
         ids = out.astype("<u4")
         for (w, _), a, b in zip(rest, stops[:-1].tolist(), stops[1:].tolist(), strict=True):
             self.known[w] = ids[a + 1 : b].tobytes()
-        if len(self.pair_rank) > 4 * KNOWN:
-            self.pair_rank = {}
+        if len(self.pair_rank) > PAIRS:
+            self.pair_rank.clear()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -152,7 +152,7 @@ class Replay:
         lo = 0
         while lo < len(texts):
             hi, size, cut = lo, 0, []
-            while hi < len(texts) and size < 1_000_000:
+            while hi < len(texts) and size < 500_000:
                 cut.append(self.pieces(texts[hi] or ""))
                 size += len(cut[-1])
                 hi += 1
