@@ -124,7 +124,7 @@ def merged(strings: list[str], start: list[int]) -> list[int]:
 
 
 def partial_clusters(df: DataFrame, size: int, slide: int, rule: str) -> DataFrame:
-    """Step 1: df (ts, key, str, worker) to (ws, worker, key, cluster, ts, str); a cluster is named by its first ts."""
+    """Step 1: df (ts, key, str, worker[, is_hot]) to (ws, worker, key, cluster, ts, str, is_hot); a cluster is named by its first ts, and a block is hot if any of its records is (all are where nothing says)."""
     if rule not in ("BEST", "VOTE"):
         raise ValueError(f"unknown rule {rule}")
     ship(df.sparkSession)
@@ -133,10 +133,11 @@ def partial_clusters(df: DataFrame, size: int, slide: int, rule: str) -> DataFra
         pdf = pdf.sort_values("ts", kind="stable").reset_index(drop=True)
         number = greedy([s or "" for s in pdf["str"]], rule)
         first = pdf.groupby(pd.Series(number))["ts"].min()
-        return pdf.assign(cluster=[int(first[c]) for c in number])[["ws", "worker", "key", "cluster", "ts", "str"]]
+        return pdf.assign(cluster=[int(first[c]) for c in number], is_hot=bool(pdf["is_hot"].any()))[["ws", "worker", "key", "cluster", "ts", "str", "is_hot"]]
 
-    rows = sliding(df.withColumn("pane", pane_of(F.col("ts"), slide)), size, slide).select("ws", "worker", "key", "ts", "str")
-    return rows.groupBy("ws", "worker", "key").applyInPandas(run, "ws long, worker int, key int, cluster long, ts long, str string")
+    hot = F.coalesce("is_hot", F.lit(False)) if "is_hot" in df.columns else F.lit(True)
+    rows = sliding(df.withColumn("is_hot", hot).withColumn("pane", pane_of(F.col("ts"), slide)), size, slide).select("ws", "worker", "key", "ts", "str", "is_hot")
+    return rows.groupBy("ws", "worker", "key").applyInPandas(run, "ws long, worker int, key int, cluster long, ts long, str string, is_hot boolean")
 
 
 def merge_clusters(partials: DataFrame) -> DataFrame:
@@ -150,3 +151,17 @@ def merge_clusters(partials: DataFrame) -> DataFrame:
         return pdf.assign(cluster=[int(pdf["ts"][h]) for h in head])[["ws", "key", "cluster", "ts", "str"]]
 
     return partials.groupBy("ws", "key").applyInPandas(run, "ws long, key int, cluster long, ts long, str string")
+
+
+def clustered(df: DataFrame, size: int, slide: int, rule: str, key_disjoint: bool = False) -> DataFrame:
+    """(ws, key, cluster, ts, str). key_disjoint: each key has one worker, so step 1 is all there is to do."""
+    partials = partial_clusters(df, size, slide, rule)
+    return partials.select("ws", "key", "cluster", "ts", "str") if key_disjoint else merge_clusters(partials)
+
+
+def forwarded(df: DataFrame, size: int, slide: int, rule: str) -> tuple[DataFrame, DataFrame]:
+    """(hot, cold) branches of (ws, key, cluster, ts, str): only keys with a hot block in the window are merged; the clusters of the others are final after step 1."""
+    partials = partial_clusters(df, size, slide, rule)
+    keys = partials.groupBy("ws", "key").agg(F.bool_or("is_hot").alias("key_is_hot"))
+    marked = partials.join(keys, ["ws", "key"])
+    return merge_clusters(marked.where("key_is_hot").drop("key_is_hot")), marked.where("not key_is_hot").select("ws", "key", "cluster", "ts", "str")

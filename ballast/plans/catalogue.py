@@ -62,6 +62,12 @@ def _parts(spark: SparkSession, d: str) -> DataFrame:
     return records.parts(spark, d).withColumn("block", pane_of(F.col("ts"), SIZE)).withColumn("worker", static.shuffling(F.col("ts"), P))
 
 
+def _forwarded_clusters(spark: SparkSession, d: str) -> DataFrame:
+    parts = hotkeys.hot_status(_parts(spark, d), SLIDE, 100).withColumnRenamed("hot", "is_hot")
+    hot, cold = clustering.forwarded(parts, SIZE, SLIDE, "BEST")
+    return hot.withColumn("is_hot", F.lit(True)).unionByName(cold.withColumn("is_hot", F.lit(False)))
+
+
 def _circular(spark: SparkSession, d: str) -> DataFrame:
     e = records.events(spark, d)
     return records.replayed(e, e.count(), 2, 2)
@@ -152,6 +158,8 @@ def queries() -> dict[str, Query]:
         "cluster_best": lambda s, d: clustering.partial_clusters(_parts(s, d).withColumn("worker", F.lit(0)), SIZE, SLIDE, "BEST"),
         "cluster_vote": lambda s, d: clustering.partial_clusters(_parts(s, d).withColumn("worker", F.lit(0)), SIZE, SLIDE, "VOTE"),
         "cluster_merge": lambda s, d: clustering.merge_clusters(clustering.partial_clusters(_parts(s, d), SIZE, SLIDE, "BEST")),
+        "cluster_one_step": lambda s, d: clustering.clustered(_parts(s, d).withColumn("worker", static.hashing(F.col("key"), P)), SIZE, SLIDE, "BEST", True),
+        "cluster_forwarded": _forwarded_clusters,
         "route_coop": lambda s, d: _coop(s, d).select("agent_id", "ts", "key", "worker", "is_hot"),
     }
     for name in ROUTERS:

@@ -5,10 +5,11 @@ from __future__ import annotations
 import csv
 import os
 import pickle
+import time
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -81,13 +82,24 @@ class Cooperation:
         self.at = batch_id
 
 
+def metrics_path(folder: str, method: str) -> str:
+    """A file named by method and date."""
+    return os.path.join(folder, f"performance_metrics_{method}_{time.strftime('%Y%m%d_%H%M%S')}.csv")
+
+
+def counted(df: DataFrame) -> tuple[DataFrame, Observation]:
+    """The same rows, and an observation that has their number (`recordsProcessed`) once an action has run."""
+    seen = Observation()
+    return df.observe(seen, F.count("*").alias("recordsProcessed")), seen
+
+
 class ProgressSink(StreamingQueryListener):
-    """Rows and rates of each micro-batch, with the driver's memory, as lines of a CSV file."""
+    """Records and rate of each micro-batch, with the driver's memory, as lines of a CSV file."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.runtime, self.path = spark.sparkContext._jvm.java.lang.Runtime.getRuntime(), path
+        self.memory, self.path = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getMemoryMXBean(), path
         os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-        self._write("timestamp", "heapMemoryUsed", "recordsProcessed", "inputRowsPerSecond", "throughput")
+        self._write("timestamp", "heapMemoryUsed", "nonHeapMemoryUsed", "recordsProcessed", "throughput")
 
     def _write(self, *row: object) -> None:
         with open(self.path, "a", newline="") as f:
@@ -97,7 +109,7 @@ class ProgressSink(StreamingQueryListener):
 
     def onQueryProgress(self, event) -> None:
         x = event.progress
-        self._write(x.timestamp, self.runtime.totalMemory() - self.runtime.freeMemory(), x.numInputRows, x.inputRowsPerSecond, x.processedRowsPerSecond)
+        self._write(x.timestamp, self.memory.getHeapMemoryUsage().getUsed(), self.memory.getNonHeapMemoryUsage().getUsed(), x.numInputRows, x.processedRowsPerSecond)
 
     def onQueryIdle(self, event) -> None: ...
 

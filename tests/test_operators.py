@@ -1,4 +1,5 @@
 import random
+import time
 
 import pandas as pd
 import pytest
@@ -418,3 +419,48 @@ def test_sparse_start():
         assert w.shape == shape and [(row == 0).sum() for row in w.reshape(3, -1)] == [6] * 3
     with pytest.raises(ValueError):
         sarsa.sparse_start(rng, (3,))
+
+
+def test_metrics_of_a_stream_and_of_a_batch(spark, tmp_path):
+    path = jobs.metrics_path(str(tmp_path / "output"), "bandit")
+    assert path.split("/")[-1].startswith("performance_metrics_bandit_")
+    sink = jobs.ProgressSink(spark, path)
+    spark.streams.addListener(sink)
+    spark.range(30).write.parquet(str(tmp_path / "in"))
+    try:
+        spark.readStream.schema("id long").parquet(str(tmp_path / "in")).writeStream.format("noop").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+        for _ in range(100):
+            lines = open(path).read().split()
+            if len(lines) > 1:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(sink)
+    assert lines[0] == "timestamp,heapMemoryUsed,nonHeapMemoryUsed,recordsProcessed,throughput"
+    assert any(int(x.split(",")[3]) == 30 and int(x.split(",")[2]) > 0 for x in lines[1:])
+    rows, seen = jobs.counted(spark.range(17))
+    rows.write.format("noop").mode("overwrite").save()
+    assert seen.get == {"recordsProcessed": 17}
+
+
+def test_cold_blocks_skip_the_merge(spark):
+    rows = [(t, t % 2, f"name{t % 5}", t % 3, t % 2 == 1 and t > 20) for t in range(30)]
+    df = spark.createDataFrame(rows, "ts long, key int, str string, worker int, is_hot boolean")
+    hot, cold = clustering.forwarded(df, 40, 20, "BEST")
+    every = lambda x: sorted(map(tuple, x.collect()))
+    partials = clustering.partial_clusters(df, 40, 20, "BEST")
+    assert every(cold) == every(partials.where("key = 0 or ws = -20").select("ws", "key", "cluster", "ts", "str"))
+    assert every(hot) == every(clustering.merge_clusters(partials.where("key = 1 and ws > -20")))
+    one = df.withColumn("worker", F.lit(0))
+    assert every(clustering.clustered(one, 40, 20, "BEST", True)) == every(clustering.partial_clusters(one, 40, 20, "BEST").select("ws", "key", "cluster", "ts", "str"))
+    assert every(clustering.clustered(df, 40, 20, "BEST")) == every(clustering.merge_clusters(partials))
+
+
+def test_late_records_are_dropped(spark, tmp_path):
+    for i, ts in enumerate([[0, 5, 30], [2, 31, 60], [90]]):
+        spark.createDataFrame([(0, t, 1, "w") for t in ts], "agent_id int, ts long, key int, str string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("agent_id int, ts long, key int, str string").parquet(str(tmp_path / "in"))
+        counts = jobs.word_count_stream(stream.withColumn("worker", F.lit(0)), 10, 10)
+        counts.writeStream.format("parquet").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+    got = {r["ws"]: r["cnt"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got[0] == 2 and got[30] == 2  # the record at 2 came after the watermark had passed its window
