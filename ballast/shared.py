@@ -96,7 +96,8 @@ def compact(df: DataFrame, rows_are_small: bool = False) -> DataFrame:
 
     So a small table doesn't end up as very many files. Each file costs processes: where Hadoop's native code is missing, a
     JVM forks one to set a file's mode, and until that one runs its own program the JVM's memory counts twice.
-    rows_are_small: rows are a few numbers, and what Spark expects (the product of a join's sides) isn't asked.
+    rows_are_small: rows are a few numbers, and what Spark expects (the product of a join's sides) isn't asked. Make a scan
+    compact before Python reads it, not after: what a task has exchanged with Python for several partitions is freed at its end.
     """
     n = 4 * df.sparkSession.sparkContext.defaultParallelism
     if not rows_are_small:
