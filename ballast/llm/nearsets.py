@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ballast.llm.graph import components
 from ballast.llm.simhash import SEED, fingerprint, near_links, shingle_hashes
-from ballast.shared import make_room, ship, stored
+from ballast.shared import compact, make_room, ship, stored
 
 SHINGLE, LEAST, BANDS, ROWS, GROUP = 5, 0.8, 32, 6, 512
 #: Keys by which members of large groups meet leaders; members that a leader's task compares; ids that are broadcast at most.
@@ -164,7 +164,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ship(spark)
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketches = stored(texts.mapInArrow(lambda b: _sketched(b, shingle), "doc_id long, same long, fp long, bands array<long>"))
+    sketches = stored(compact(texts).mapInArrow(lambda b: _sketched(b, shingle), "doc_id long, same long, fp long, bands array<long>"), as_it_is=True)
     classes = stored(sketches.groupBy("same").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp"), F.min("bands").alias("bands")))
 
     # what candidates join: classes of a key with its least class, classes of linked fingerprints

@@ -253,7 +253,8 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield from _ask(block, read_texts(payload.as_buffer()), window, parts)
 
     asked = blocks.select("block", "payload").mapInArrow(ask, ASK).repartition(parts, "part")
-    answers = stored(asked.mapInArrow(_answer, ANSWER))
+    answers = asked.mapInArrow(_answer, ANSWER).coalesce(max(parts // 3, 4 * docs.sparkSession.sparkContext.defaultParallelism))
+    answers = stored(answers, as_it_is=True)
     tidy(docs.sparkSession)  # the asks are the larger part of what is exchanged
     return with_answers(blocks, answers, max(8, size // (10 << 20)), lambda _, table, held: _finish(table, held, window, layout), REPEATS + "".join(f", keep{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)))
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ballast.llm.graph import components
-from ballast.shared import make_room, ship, stored
+from ballast.shared import compact, make_room, ship, stored
 
 SHINGLE, BITS, SEED, GROUP = 3, 3, 42, 2048
 
@@ -69,7 +69,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.Reco
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     ship(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lambda b: _fingerprints(b, shingle), "doc_id long, fp long")
+    return compact(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(lambda b: _fingerprints(b, shingle), "doc_id long, fp long")
 
 
 _KEYS = pa.schema([("key", pa.int64()), ("fp", pa.int64())])
@@ -222,7 +222,7 @@ def near_links(prints: DataFrame, bits: int = BITS, group: int = GROUP) -> DataF
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest id reachable over links, itself included."""
-    prints = stored(fingerprints(docs, id_col, text_col, shingle))
+    prints = stored(fingerprints(docs, id_col, text_col, shingle), as_it_is=True)
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     links = near_links(prints, bits)
     parts = components(links)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ballast.llm.vec import U64, mix, powers
-from ballast.shared import make_room, ship, stored
+from ballast.shared import compact, make_room, ship, stored
 
 SAMPLE, LEAST, LEAST_SHARE, LEAST_WEIGHT, SHORTEST = 50_000, 5, 0.002, 3.5, 3
 #: Phrases in which a word of the lexicon does no harm.
@@ -183,7 +183,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample
     chosen = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
     known = docs.sparkSession.sparkContext.broadcast({int(r["doc_id"]): int(r["toxic"] > 0) for r in chosen})
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = stored(texts.mapInArrow(lambda b: _texts(b, known.value), "doc_id long, toxic int, key long, words string"))
+    rows = stored(compact(texts).mapInArrow(lambda b: _texts(b, known.value), "doc_id long, toxic int, key long, words string"), as_it_is=True)
     one = rows.groupBy("key", "toxic").agg(F.min("doc_id").alias("doc_id"))
     kept = rows.join(one, ["key", "toxic", "doc_id"], "left_semi")
     sizes = {r["toxic"]: r["count"] for r in kept.groupBy("toxic").count().collect()}
@@ -245,7 +245,7 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
             score = 1 / (1 + np.exp(-np.clip(features(found[:, 0], found[:, 1]) @ b, -50, 50)))
             yield batch.filter(pa.array(score < cut))
 
-    return docs.mapInArrow(run, docs.schema)
+    return compact(docs).mapInArrow(run, docs.schema)
 
 
 def training_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
