@@ -15,7 +15,7 @@ from ballast.shared import compact, discard, stored
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score of 0.5 or more go."""
-    return compact(toxicity.reject_toxic(docs, toxicity.training_labels(spark, sf_dir)))
+    return toxicity.reject_toxic(docs, toxicity.training_labels(spark, sf_dir))
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded bytes."""
     import public_tokenizers
 
-    return bpe.digests(bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN))
+    return bpe.digests(bpe.encode_decode(compact(docs), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN))
 
 
 STAGES = [("toxicity", toxicity_stage), ("simhash", simhash_stage), ("substrings", substring_stage), ("decontamination", decontamination_stage), ("bpe", bpe_stage)]
