@@ -4,7 +4,8 @@ Texts are cut by the tokenizer's pattern. The distinct pieces of a batch that ar
 tokens with an inverted index from token pair to the places where it stands. Merges are applied in rank order: the pair of
 least rank is taken from a heap, merged at all its places, and only the pairs with the two neighbours of each place are
 updated. The pieces' ids are then read off, and texts are looked up piece by piece. No row meets another, so there is no
-exchange; memory is bounded by one Arrow batch of texts and the table of known pieces (`KNOWN` entries, then it starts anew).
+exchange; memory is bounded by one Arrow batch of texts, `LEARNT` pieces that are replayed at a time and the tables of known
+pieces: two generations of half of `KNOWN` entries each, where what is met again moves to the younger and the older goes at last.
 
 Defined results: a null or empty text has no tokens and decodes to no bytes; repeated rows repeat; other columns are
 ignored; special tokens' strings are ordinary text.
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 
 from ballast.shared import CACHES, make_room, ship
 
-#: Pieces whose ids a worker keeps, and pairs of tokens whose rank it keeps.
-KNOWN, PAIRS = 250_000, 250_000
+#: Pieces whose ids a worker keeps, pieces that are replayed at a time, and pairs of tokens whose rank is kept.
+KNOWN, LEARNT, PAIRS = 200_000, 15_000, 150_000
 
 
 class Replay:
@@ -40,6 +41,7 @@ class Replay:
         self.one = [self.ranks[bytes([b])] for b in range(256)]
         self.pieces = regex.compile(pattern).findall
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.pair_rank: dict[int, int | None] = {}
 
     def learn(self, words: list[str]) -> None:
@@ -152,17 +154,19 @@ class Replay:
         lo = 0
         while lo < len(texts):
             hi, size, cut = lo, 0, []
-            while hi < len(texts) and size < 500_000:
+            while hi < len(texts) and size < 400_000:
                 cut.append(self.pieces(texts[hi] or ""))
                 size += len(cut[-1])
                 hi += 1
             new = set(chain.from_iterable(cut)).difference(self.known)
-            if new:
-                if len(self.known) + len(new) > KNOWN:
-                    self.known = {}
-                    new = set(chain.from_iterable(cut))
-                self.learn(sorted(new))
+            again = new.intersection(self.older)
+            self.known.update(zip(again, map(self.older.__getitem__, again), strict=True))
+            fresh = sorted(new - again)
+            for at in range(0, len(fresh), LEARNT):
+                self.learn(fresh[at : at + LEARNT])
             out.extend(b"".join(map(self.known.__getitem__, p)) for p in cut)
+            if len(self.known) > KNOWN // 2:
+                self.known, self.older = {}, self.known
             lo = hi
         return out
 
@@ -188,8 +192,8 @@ def _run(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator
     make_room(_forget)
     replay = _replay(path, pattern)
     for batch in batches:
-        for lo in range(0, batch.num_rows, 1000):
-            part = batch.slice(lo, 1000)
+        for lo in range(0, batch.num_rows, 500):
+            part = batch.slice(lo, 500)
             ids = replay.encode(part.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array([replay.decode(x) for x in ids], pa.binary())], schema=_OUT)
 
