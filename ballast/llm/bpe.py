@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 from ballast.shared import CACHES, make_room, ship
 
 #: Pieces whose ids a worker keeps, pieces that are replayed at a time, and pairs of tokens whose rank is kept.
-KNOWN, LEARNT, PAIRS = 200_000, 15_000, 150_000
+KNOWN, LEARNT, PAIRS = 240_000, 25_000, 250_000
+
+MISS = object()
 
 
 class Replay:
@@ -66,6 +68,7 @@ class Replay:
         known, ranks, strings, width = self.pair_rank, self.ranks, self.bytes, self.size
         index: dict[int, list[int]] = {}
         heap: list[int] = []
+        found = known.get
 
         def rank_of(a: int, b: int) -> int | None:
             key = a * width + b
@@ -102,7 +105,10 @@ class Replay:
                     continue
                 j = right[i]
                 b = sym[j]
-                if b < 0 or rank_of(a, b) != r:
+                if b < 0:
+                    continue
+                s = found(a * width + b, MISS)
+                if (rank_of(a, b) if s is MISS else s) != r:
                     continue
                 if i < held_until:
                     later.append(i)
@@ -112,22 +118,30 @@ class Replay:
                 left[k] = i
                 c = sym[k]
                 lower = False
-                if c >= 0 and (s := rank_of(r, c)) is not None:
-                    if s in index:
-                        index[s].append(i)
-                    else:
-                        index[s] = [i]
-                        heapq.heappush(heap, s)
-                    lower = s < r
+                if c >= 0:
+                    s = found(r * width + c, MISS)
+                    if s is MISS:
+                        s = rank_of(r, c)
+                    if s is not None:
+                        if s in index:
+                            index[s].append(i)
+                        else:
+                            index[s] = [i]
+                            heapq.heappush(heap, s)
+                        lower = s < r
                 h = left[i]
                 c = sym[h]
-                if c >= 0 and (s := rank_of(c, r)) is not None:
-                    if s in index:
-                        index[s].append(h)
-                    else:
-                        index[s] = [h]
-                        heapq.heappush(heap, s)
-                    lower |= s < r
+                if c >= 0:
+                    s = found(c * width + r, MISS)
+                    if s is MISS:
+                        s = rank_of(c, r)
+                    if s is not None:
+                        if s in index:
+                            index[s].append(h)
+                        else:
+                            index[s] = [h]
+                            heapq.heappush(heap, s)
+                        lower |= s < r
                 if lower:  # this piece has a merge of lower rank now: its later places wait
                     held_until = i
                     while sym[held_until] != -1:
@@ -154,7 +168,7 @@ class Replay:
         lo = 0
         while lo < len(texts):
             hi, size, cut = lo, 0, []
-            while hi < len(texts) and size < 400_000:
+            while hi < len(texts) and size < 500_000:
                 cut.append(self.pieces(texts[hi] or ""))
                 size += len(cut[-1])
                 hi += 1
@@ -192,8 +206,8 @@ def _run(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator
     make_room(_forget)
     replay = _replay(path, pattern)
     for batch in batches:
-        for lo in range(0, batch.num_rows, 500):
-            part = batch.slice(lo, 500)
+        for lo in range(0, batch.num_rows, 1000):
+            part = batch.slice(lo, 1000)
             ids = replay.encode(part.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array([replay.decode(x) for x in ids], pa.binary())], schema=_OUT)
 
