@@ -4,8 +4,8 @@ Texts are cut by the tokenizer's pattern. The distinct pieces of a batch that ar
 tokens with an inverted index from token pair to the places where it stands. Merges are applied in rank order: the pair of
 least rank is taken from a heap, merged at all its places, and only the pairs with the two neighbours of each place are
 updated. The pieces' ids are then read off, and texts are looked up piece by piece. No row meets another, so there is no
-exchange; memory is bounded by one Arrow batch of texts, `LEARNT` pieces that are replayed at a time and the tables of known
-pieces: two generations of half of `KNOWN` entries each, where what is met again moves to the younger and the older goes at last.
+exchange; memory is bounded by one Arrow batch of texts, `learnt` pieces that are replayed at a time and the tables of known
+pieces: two generations of half of `known` entries each, where what is met again moves to the younger and the older goes at last.
 
 Defined results: a null or empty text has no tokens and decodes to no bytes; repeated rows repeat; other columns are
 ignored; special tokens' strings are ordinary text.
@@ -26,14 +26,15 @@ from pyspark.sql import functions as F
 
 from ballast.shared import CACHES, make_room, ship
 
-#: Pieces whose ids a worker keeps, pieces that are replayed at a time, and pairs of tokens whose rank is kept.
-KNOWN, LEARNT, PAIRS = 240_000, 25_000, 250_000
+#: Pieces whose ids a worker keeps, pieces that are replayed at a time (less of either takes less memory and more time), and pairs of tokens whose rank is kept.
+KNOWN, LEARNT, PAIRS = 400_000, 200_000, 500_000
 
 MISS = object()
 
 
 class Replay:
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, known: int = KNOWN, learnt: int = LEARNT):
+        self.most, self.learnt = known, learnt
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.size = max(self.ranks.values()) + 1
@@ -176,10 +177,10 @@ class Replay:
             again = new.intersection(self.older)
             self.known.update(zip(again, map(self.older.__getitem__, again), strict=True))
             fresh = sorted(new - again)
-            for at in range(0, len(fresh), LEARNT):
-                self.learn(fresh[at : at + LEARNT])
+            for at in range(0, len(fresh), self.learnt):
+                self.learn(fresh[at : at + self.learnt])
             out.extend(b"".join(map(self.known.__getitem__, p)) for p in cut)
-            if len(self.known) > KNOWN // 2:
+            if len(self.known) > self.most // 2:
                 self.known, self.older = {}, self.known
             lo = hi
         return out
@@ -188,23 +189,23 @@ class Replay:
         return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_made: dict[tuple[str, str], Replay] = {}
+_made: dict[tuple, Replay] = {}
 _forget = _made.clear
 CACHES.append(_forget)
 
 
-def _replay(path: str, pattern: str) -> Replay:
-    if (path, pattern) not in _made:
-        _made[path, pattern] = Replay(path, pattern)
-    return _made[path, pattern]
+def _replay(*how) -> Replay:
+    if how not in _made:
+        _made[how] = Replay(*how)
+    return _made[how]
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.binary())])
 
 
-def _run(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
+def _run(batches: Iterator[pa.RecordBatch], *how) -> Iterator[pa.RecordBatch]:
     make_room(_forget)
-    replay = _replay(path, pattern)
+    replay = _replay(*how)
     for batch in batches:
         for lo in range(0, batch.num_rows, 1000):
             part = batch.slice(lo, 1000)
@@ -212,10 +213,10 @@ def _run(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array([replay.decode(x) for x in ids], pa.binary())], schema=_OUT)
 
 
-def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", known: int = KNOWN, learnt: int = LEARNT) -> DataFrame:
     """(doc_id, ids as little-endian unsigned 32-bit integers, decoded bytes) by the rank file at `path`, which every node has."""
     ship(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lambda b: _run(b, path, pattern), "doc_id long, ids binary, decoded binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lambda b: _run(b, path, pattern, known, learnt), "doc_id long, ids binary, decoded binary")
 
 
 def digests(encoded: DataFrame) -> DataFrame:
