@@ -43,7 +43,7 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded bytes."""
     import public_tokenizers
 
-    return bpe.digests(bpe.encode_decode(compact(docs), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN))
+    return bpe.digests(bpe.encode_decode(compact(docs), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, known=200_000, learnt=15_000))
 
 
 STAGES = [("toxicity", toxicity_stage), ("simhash", simhash_stage), ("substrings", substring_stage), ("decontamination", decontamination_stage), ("bpe", bpe_stage)]
