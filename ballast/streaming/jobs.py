@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ballast.functions.text import split_words
-from ballast.operators.cooperative import route_round
+from ballast.operators.cooperative import Answer, route_round
 from ballast.operators.routers import ROUTERS
 from ballast.shared import ship
 
@@ -57,27 +57,36 @@ def routed_stream(df: DataFrame, name: str, p: int, size: int, slide: int) -> Da
 class Cooperation:
     """A foreachBatch sink: each micro-batch is a round of cooperating agents, and its end their sync point.
 
-    Routed rows of batch b go to `path`/routed/batch=b, the merged values to `path`/values/batch=b; both replace what an
-    interrupted run of the same batch left, and a restarted query goes on from the values of the batch before.
+    Routed rows of batch b go to `path`/routed/batch=b, the merged values to `path`/values/batch=b, agents' states to
+    `path`/states/batch=b; all replace what an interrupted run of the same batch left, and a restarted query goes on from
+    those of the batch before.
     """
 
     def __init__(self, path: str, p: int, size: int, slide: int, agents: int):
         self.path, self.args, self.at = path, (p, size, slide, agents), -1
-        self.table: dict[int, list[float]] = {}
-        self.hot: list[int] = []
+        self.known = Answer()
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        if batch_id and self.at != batch_id - 1:
-            rows = spark.read.schema("key int, q array<double>").parquet(f"{self.path}/values/batch={batch_id - 1}").collect()  # at most p keys
-            self.table = {r["key"]: list(r["q"]) for r in rows}
-            self.hot = sorted(self.table)
-        first = batch.agg(F.min("ts")).first()[0]
-        if first is not None:
+        spark, before = batch.sparkSession, batch_id - 1
+        if batch_id and self.at != before:
+            rows = spark.read.schema("key int, q array<double>, until long, total long").parquet(f"{self.path}/values/batch={before}").collect()  # the answer's keys, and a row without key
+            self.known.table = {r["key"]: (list(r["q"]), r["until"]) for r in rows if r["key"] is not None}
+            self.known.total = rows[0]["total"]
+        if batch_id:
+            self.known.states = spark.read.schema("agent_id int, state binary").parquet(f"{self.path}/states/batch={before}")
+        low, high = batch.agg(F.min("ts"), F.max("ts")).first()
+        states = self.known.states
+        if low is not None:
             slide = self.args[2]
-            rows, self.table, self.hot = route_round(batch, *self.args, self.table, first // slide * slide, self.hot)
+            first = low // slide * slide
+            rows, self.known = route_round(batch, *self.args, first, high + 1 - first, self.known)
             rows.write.mode("overwrite").parquet(f"{self.path}/routed/batch={batch_id}")
-        values = spark.createDataFrame([(k, q) for k, q in self.table.items()], "key int, q array<double>")
+            states = self.known.states
+        if states is None:
+            states = spark.createDataFrame([], "agent_id int, state binary")
+        states.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/states/batch={batch_id}")
+        total = self.known.total
+        values = spark.createDataFrame([(None, None, None, total), *((k, q, until, total) for k, (q, until) in self.known.table.items())], "key int, q array<double>, until long, total long")
         values.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/values/batch={batch_id}")
         self.at = batch_id
 

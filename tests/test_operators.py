@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from ballast.functions import text, windows
-from ballast.operators import clustering, hotkeys, routers, sarsa, static, stats, wordcount
+from ballast.operators import clustering, cooperative, hotkeys, routers, sarsa, static, stats, wordcount
 from ballast.plans.catalogue import assigned
 from ballast.sources import records
 from ballast.streaming import jobs
@@ -210,6 +210,64 @@ def test_sarsa_equals_plain_rules(spark):
     assert [(r["worker"], r["is_hot"]) for r in routers.routed(df, "sarsa", 4, 120, 30).orderBy("ts").collect()] == want
 
 
+class PlainAgent(Plain):
+    """A cooperating agent within a round: hot by its own count in the round against the last round's total over all agents."""
+
+    first, sync, least = 0, 0, float("inf")
+
+    def hot(self, key, ts):
+        if 1 + sum(1 for t, k, _ in self.seen if t >= self.first and k == key) > self.least:
+            self.until[key] = max(self.first + 2 * self.sync, self.until.get(key, 0))
+        elif key in self.until and ts > self.until[key]:
+            del self.until[key]
+            self.q.pop(key, None)
+        return key in self.until
+
+
+@pytest.mark.parametrize("syncs", [[30], [150], [60, 120, 30, 60]])
+def test_cooperation_equals_plain_rules(spark, syncs):
+    p, slide, rows = 4, 30, routed_rows(450, 2)
+    df = spark.createDataFrame(rows, "agent_id int, ts long, key int, str string")
+    agents, want, left, first, lengths = [PlainAgent(p, 120, slide, 3 + a) for a in range(2)], {}, [], 0, []
+    while first < 450:
+        left = left or list(syncs)
+        sync = left.pop(0)
+        lengths.append(sync)
+        counts, every = [{}, {}], {}
+        for x in agents:
+            x.first, x.sync = first, sync
+        for a, t, k, _ in rows[first : first + sync]:
+            w, hot = agents[a].bandit(k, t)
+            want[t] = (w, hot or sync > slide)
+            every[k] = every.get(k, 0) + 1
+            if hot:
+                counts[a][k] = counts[a].get(k, 0) + 1
+        total, table = sum(every.values()), {}
+        for k in {k for a in range(2) for k in counts[a] if k in agents[a].q}:
+            own = [a for a in range(2) if k in counts[a] and k in agents[a].q]
+            n = sum(counts[a][k] for a in own)
+            table[k] = ([sum(counts[a][k] * agents[a].q[k][i] for a in own) / n for i in range(p)], max(agents[a].until[k] for a in own))
+        for k, n in every.items():
+            if n > total // p:
+                table.setdefault(k, ([-2.0] * p, first + 2 * sync))
+        for x in agents:
+            x.q, x.until, x.least = {k: list(q) for k, (q, _) in table.items()}, {k: u for k, (_, u) in table.items()}, total // p
+        first += sync
+    rest = iter([*lengths[1:], 30])
+    got = cooperative.routed_cooperatively(df, p, 120, slide, 2, lengths[0], lambda *_: next(rest)).collect()
+    assert {r["ts"]: (r["worker"], r["is_hot"]) for r in got} == want and len(got) == 450
+
+
+def test_pace():
+    pace = cooperative.measured_pace(50)
+    assert [pace(200, *x) for x in ((1, 2), (3, 1), (2, 1), (1, 1))] == [400, 100, 200, 200] and pace(60, 3, 1) == 50
+
+
+def test_cooperation_of_no_records(spark):
+    df = spark.createDataFrame([(0, None, 1, "a"), (0, 1, None, "b")], "agent_id int, ts long, key int, str string")
+    assert cooperative.routed_cooperatively(df, 4, 40, 20, 2).count() == 0
+
+
 def test_agents_route_in_tasks_of_their_own(spark):
     df = spark.createDataFrame(routed_rows(400, 4), "agent_id int, ts long, key int, str string")
     out = routers.routed(df, "two_choices", 4, 40, 20).withColumn("part", F.spark_partition_id())
@@ -397,7 +455,7 @@ def test_cooperation_goes_on_after_a_restart(spark, tmp_path):
     again(batches[1], 1)
     again(batches[1], 1)
     rows = [sorted(map(tuple, spark.read.parquet(str(tmp_path / name / "routed" / "batch=1")).collect())) for name in "ab"]
-    assert rows[0] == rows[1] and len(rows[0]) == 200 and 0 in one.table and one.table == again.table
+    assert rows[0] == rows[1] and len(rows[0]) == 200 and 0 in one.known.table and (one.known.table, one.known.total) == (again.known.table, again.known.total)
 
 
 @pytest.mark.parametrize("adaptive", [False, True])
