@@ -514,6 +514,39 @@ def test_cold_blocks_skip_the_merge(spark):
     assert every(clustering.clustered(df, 40, 20, "BEST")) == every(clustering.merge_clusters(partials))
 
 
+def test_merge_compares_each_pair_of_strings_once(monkeypatch):
+    asked, plain = [], clustering.weight
+    monkeypatch.setattr(clustering, "weight", lambda a, b: asked.append((a, b)) or plain(a, b))
+    strings = [f"{c}{n}" for c in ("bolt", "large ring", "hot plate") for n in range(10)] * 2
+    end = clustering.merged(strings, list(range(60)))
+    assert len(set(end)) == 3 and len(asked) <= 30 * 29 // 2
+
+
+def test_groups_may_be_spread_over_batches(spark):
+    rows = [(t, t // 40, f"name{t % 7}{'x' * (t % 3)}", t % 2, t // 40 % 2 == 0) for t in range(120)]
+    df = spark.createDataFrame(rows, "ts long, key int, str string, worker int, is_hot boolean")
+    every = lambda x: sorted(map(tuple, x.collect()))
+    run = lambda: [every(x) for x in (*clustering.forwarded(df, 80, 40, "BEST"), clustering.partial_clusters(df, 80, 40, "VOTE"))]
+    whole = run()
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for n in (1, 7):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+            assert run() == whole
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert [len(x) for x in whole] == [160, 80, 240]
+
+
+def test_forwarding_clusters_each_record_once_and_on_all_cores(spark):
+    rows = [(t, t % 50, f"name{t % 64}", t % 8, t % 50 < 40) for t in range(400)]
+    df = spark.createDataFrame(rows, "ts long, key int, str string, worker int, is_hot boolean")
+    hot, cold = clustering.forwarded(df, 80, 40, "BEST")
+    plan = hot.unionByName(cold)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") + plan.count("FlatMapGroups") == 3  # step 1 of either branch, and the merge
+    assert hot.select(F.spark_partition_id()).distinct().count() == 4  # few bytes, but not one task
+
+
 def test_late_records_are_dropped(spark, tmp_path):
     for i, ts in enumerate([[0, 5, 30], [2, 31, 60], [90]]):
         spark.createDataFrame([(0, t, 1, "w") for t in ts], "agent_id int, ts long, key int, str string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
