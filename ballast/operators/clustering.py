@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections import Counter, deque
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -53,6 +54,7 @@ def _scaled(distance: int, longest: int) -> int:
 
 @lru_cache(maxsize=200_000)
 def _unequal(a: str, b: str) -> int:
+    """weight of strings a < b."""
     return _scaled(_distance(a, b), max(len(a), len(b)))
 
 
@@ -60,7 +62,7 @@ def weight(a: str, b: str) -> int:
     """2 * similarity - 1 in parts of ONE; equal strings, empty ones too, have ONE."""
     if a == b:
         return ONE
-    return _unequal(a, b) if a <= b else _unequal(b, a)
+    return _unequal(a, b) if a < b else _unequal(b, a)
 
 
 def similar_pairs(df: DataFrame, block: str = "block") -> DataFrame:
@@ -97,14 +99,12 @@ def merged(strings: list[str], start: list[int]) -> list[int]:
 
     Each accepted action raises the total, so it ends. A cluster never meets itself, and neighbours are seen both ways.
     """
-    names = list(dict.fromkeys(strings))
+    names = sorted(set(strings))
     number = {s: k for k, s in enumerate(names)}
     name = [number[s] for s in strings]
-    w = [[ONE] * len(names) for _ in names]
-    for a, s in enumerate(names):
-        row = w[a]
-        for b in range(a):
-            row[b] = w[b][a] = weight(s, names[b])
+    w = [[*map(_unequal, names[:a], repeat(s)), ONE] for a, s in enumerate(names)]
+    for a, row in enumerate(w):
+        row += [w[b][a] for b in range(a + 1, len(names))]
 
     own: dict[int, list[int]] = {}
     for i, c in enumerate(start):
@@ -116,11 +116,14 @@ def merged(strings: list[str], start: list[int]) -> list[int]:
         near[c] = w[name[members[0]]] if len(members) == 1 else [sum(x) for x in zip(*(w[name[i]] for i in members), strict=True)]
     between: dict[int, dict[int, int]] = {c: {} for c in own}  # the total weight between two clusters
     for c, members in own.items():
-        places = [name[i] for i in members]
+        mine, first, rest = between[c], name[members[0]], [name[i] for i in members[1:]]
         for other, totals in near.items():
             if other == c:
                 break
-            between[c][other] = between[other][c] = sum(totals[k] for k in places)
+            total = totals[first]
+            for k in rest:
+                total += totals[k]
+            mine[other] = between[other][c] = total
 
     def move(i: int, x: int, y: int) -> None:
         k = name[i]
@@ -166,16 +169,24 @@ def merged(strings: list[str], start: list[int]) -> list[int]:
                 return True
         return False
 
+    def moved(i: int, x: int, y: int) -> bool:
+        move(i, x, y)
+        queue.extend((x, y))
+        return True
+
     def try_move(c: int) -> bool:
-        for other in own:
-            for x, y in ((c, other), (other, c)) if other != c else ():
-                if len(own[x]) > 1:
-                    here, there = near[x], near[y]
-                    for i in own[x]:
-                        if there[name[i]] - here[name[i]] + ONE > GAIN:
-                            move(i, x, y)
-                            queue.extend((x, y))
-                            return True
+        here = near[c]
+        mine = [(i, name[i], here[name[i]] - ONE + GAIN) for i in own[c]] if len(own[c]) > 1 else []
+        for other, theirs in own.items():
+            if other != c:
+                there = near[other]
+                for i, k, least in mine:
+                    if there[k] > least:
+                        return moved(i, c, other)
+                if len(theirs) > 1:
+                    for i in theirs:
+                        if here[name[i]] - there[name[i]] + ONE > GAIN:
+                            return moved(i, other, c)
         return False
 
     while queue:
